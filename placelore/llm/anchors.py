@@ -4,6 +4,7 @@ A window is W consecutive symbols (bytes or words) of one document. The anchor o
 k-grams, so equal windows have equal anchors wherever they stand. A phrase is a run of windows with one anchor; the phrases
 of a document partition its windows. Hence a window can only repeat in phrases of the same anchor:
 
+0. Copies of a whole text are told apart from its smallest document by their fingerprints and skip the steps that follow.
 1. ``scan``     one pass over the texts sends each anchor to the block it hashes to (arrays in blobs, not rows).
 2. ``recur``    a block finds the anchors that more than one document row has and tells the senders.
 3. ``cut``      the texts that hold such anchors are cut into phrases, as prefix-free parsing does; each distinct phrase of a
@@ -109,21 +110,28 @@ class Windows:
         return np.repeat(low[new], cut), first, size, of[first]
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    head = np.array([a.nbytes for a in arrays], "<i8")
-    return b"".join([head.tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)])
+def pack(*arrays) -> bytes:
+    """Arrays, or bytes, one after another behind their sizes."""
+    parts = [a if isinstance(a, bytes) else np.ascontiguousarray(a).tobytes() for a in arrays]
+    return b"".join([np.array([len(p) for p in parts], "<i8").tobytes(), *parts])
 
 
-def unpack(blob: bytes, *kinds) -> list[np.ndarray]:
-    at, out = 8 * len(kinds), []
-    for kind, size in zip(kinds, np.frombuffer(blob, "<i8", len(kinds)), strict=True):
+def unpack(blob: bytes, *kinds, skip: int = 0) -> list[np.ndarray]:
+    """The first arrays of a blob; skip: how many parts follow them."""
+    at, out = 8 * (len(kinds) + skip), []
+    for kind, size in zip(kinds, np.frombuffer(blob, "<i8", len(kinds)).tolist(), strict=True):
         out.append(np.frombuffer(blob, kind, size // np.dtype(kind).itemsize, at))
         at += size
     return out
 
 
-def joined(blobs: list[bytes], *kinds) -> list[np.ndarray]:
-    parts = [unpack(b, *kinds) for b in blobs]
+def rest(blob: bytes, nth: int) -> bytes:
+    """The last part of a blob, which has nth parts before it."""
+    return blob[len(blob) - int(np.frombuffer(blob, "<i8", 1, 8 * nth)[0]) :]
+
+
+def joined(blobs: list[bytes], *kinds, skip: int = 0) -> list[np.ndarray]:
+    parts = [unpack(b, *kinds, skip=skip) for b in blobs]
     return [np.concatenate([np.zeros(0, k), *(p[i] for p in parts)]) for i, k in enumerate(kinds)]
 
 
@@ -177,7 +185,7 @@ def scan(win: Windows, n: int) -> Callable:
             yield rows([mark % n], [DIRECT], [mark], [pack(h[again], idx[again].astype(np.uint32))])
 
         for batch in batches:
-            texts = texts_of(batch, "body")
+            texts = opened(batch)
             new_did, new_fp = batch.column("did").to_pylist(), batch.column("fp").to_pylist()
             from_text = 0
             for first, last in groups(texts, 4 * BLOCK):
@@ -266,6 +274,7 @@ def cut(win: Windows, n: int) -> Callable:
     kind_of = np.uint8 if win.unit == "bytes" else U
 
     def go(batches):
+        press = zstandard.ZstdCompressor(level=1)
         for batch in slices(batches):
             texts = opened(batch)
             did, fp = batch.column("did").to_numpy(), batch.column("fp").to_numpy()
@@ -306,7 +315,7 @@ def cut(win: Windows, n: int) -> Callable:
                 all_sym, ends = raw[ranges(first, many)], np.cumsum(many)
                 edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
                 stop = np.r_[edge[1:], len(key)]
-                blobs = [pack(h[i:j], size[i:j].astype(np.uint16), did[doc[i:j]], fp[doc[i:j]], start[i:j], all_sym[ends[i] - many[i] : ends[j - 1]].astype(kind_of)) for i, j in zip(edge, stop, strict=True)]
+                blobs = [pack(h[i:j], size[i:j].astype(np.uint16), did[doc[i:j]], fp[doc[i:j]], start[i:j], press.compress(all_sym[ends[i] - many[i] : ends[j - 1]].astype(kind_of).tobytes())) for i, j in zip(edge, stop, strict=True)]
                 yield rows(key[edge], [PHRASE] * len(edge), [0] * len(edge), blobs)
 
     return go
@@ -320,8 +329,10 @@ def mark(win: Windows, n: int, match: Callable) -> Callable:
         kind = table.column("kind").to_numpy()
         out = [table.filter(pa.array(kind == SPAN))]
         blobs = table.filter(pa.array(kind == PHRASE)).column("blob").to_pylist()
-        h, size, did, fp, start, raw = joined(blobs, U, np.uint16, np.int64, np.int64, np.int64, kind_of)
+        h, size, did, fp, start = joined(blobs, U, np.uint16, np.int64, np.int64, np.int64, skip=1)
         if len(h):
+            press = zstandard.ZstdDecompressor()
+            raw = np.frombuffer(b"".join(press.decompress(rest(b, 5)) for b in blobs), kind_of)
             size = size.astype(np.int64)
             many = size + win.W - 1
             off = np.cumsum(many) - many
@@ -401,19 +412,24 @@ def gather(table: pa.Table) -> pa.Table:
 
 
 def repeated_spans(docs: DataFrame, win: Windows, match: Callable, finish: Callable, result: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Applies finish(text bytes, spans) to every row of docs; spans: its merged [begin, end) that repeat smaller documents.
+    """Applies finish(text bytes, spans, copy) to every row of docs; spans: its merged [begin, end) that repeat smaller documents.
+
+    copy: a smaller document has the very same text (by 128 bits of hash), so all of its windows repeat; it has no spans here.
 
     result: the DDL of what finish returns, as a tuple. The rows keep all columns of docs, in a struct named row.
     """
     ship(docs.sparkSession)
     n = buckets(docs, 2 << 20, 256)
     keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text)).alias("row"), *doc_key(doc_id, text))
-    small = keyed.select("did", "fp", "body")
     z = keyed.mapInArrow(packed, StructType([*keyed.schema.fields[:3], StructField("z", BinaryType())]))
-    sent = small.mapInArrow(scan(win, n), ROUTED)
+    same = keyed.select("did", "fp", F.xxhash64(F.lit(1), "body").alias("fq")).distinct()
+    least = same.groupBy("fp", "fq").agg(F.min("did").alias("least"))
+    copies = same.join(least, ["fp", "fq"]).groupBy("did", "fp").agg(F.min(F.col("did") > F.col("least")).alias("copy"))
+    z = z.join(copies, ["did", "fp"])
+    sent = z.where("NOT copy").mapInArrow(scan(win, n), ROUTED)
     back = sent.groupBy("key").applyInArrow(recur, ROUTED)
     anchors = back.groupBy("flush").applyInArrow(told, "did long, fp long, anchors binary").groupBy("did", "fp").agg(F.first("anchors").alias("anchors"))
-    held = z.join(anchors, ["did", "fp"])  # all of z, so that both joins can share its exchange
+    held = z.where("NOT copy").join(anchors, ["did", "fp"])  # all columns of z, so that one exchange of the texts serves all
     phrases = held.mapInArrow(cut(win, n), ROUTED)
     marks = phrases.groupBy("key").applyInArrow(mark(win, n, match), ROUTED)
     spans = marks.groupBy("key").applyInArrow(gather, "did long, fp long, found binary")
@@ -421,7 +437,7 @@ def repeated_spans(docs: DataFrame, win: Windows, match: Callable, finish: Calla
     def end(batches):
         for batch in slices(batches):
             found = [np.frombuffer(x or b"", np.int64).reshape(-1, 2) for x in batch.column("found").to_pylist()]
-            rest = [finish(t, s) for t, s in zip(opened(batch), found, strict=True)]
+            rest = [finish(t, s, c) for t, s, c in zip(opened(batch), found, batch.column("copy").to_pylist(), strict=True)]
             cols = [pa.array([r[i] for r in rest]) for i in range(len(rest[0]))]
             yield pa.RecordBatch.from_arrays([batch.column("row"), *(c.cast(k) for c, k in zip(cols, kinds, strict=True))], ["row", *names])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,13 +11,18 @@ from placelore.llm.anchors import Windows, repeated_spans
 from placelore.llm.common import read
 
 
-def _finish(text: bytes, spans) -> tuple:
-    keep, at = [], 0
-    for a, b in spans.tolist():
-        keep.append(text[at:a])
-        at = b
-    keep.append(text[at:])
-    return len(text), spans[:, 0].tolist(), spans[:, 1].tolist(), b"".join(keep)
+def _finish(window: int):
+    def finish(text: bytes, spans, copy: bool) -> tuple:
+        if copy and len(text) >= window:
+            spans = np.array([[0, len(text)]])
+        keep, at = [], 0
+        for a, b in spans.tolist():
+            keep.append(text[at:a])
+            at = b
+        keep.append(text[at:])
+        return len(text), spans[:, 0].tolist(), spans[:, 1].tolist(), b"".join(keep)
+
+    return finish
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 18, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -28,8 +34,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 18, doc_id: st
     A null text is empty. Texts under window bytes have no spans. Rows with one id never remove each other, be they equal
     or not; rows with a null id come after all others. An empty table gives an empty result. Other columns pass in row.
     """
-    out = repeated_spans(docs, Windows("bytes", window, gram), runindex.match, _finish, "n_bytes long, begins array<long>, ends array<long>, kept binary", doc_id, text)
-    return out
+    return repeated_spans(docs, Windows("bytes", window, gram), runindex.match, _finish(window), "n_bytes long, begins array<long>, ends array<long>, kept binary", doc_id, text)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,14 +11,19 @@ from placelore.llm.anchors import Windows, repeated_spans
 from placelore.llm.common import read
 
 
-def _finish(text: bytes, spans) -> tuple:
-    words = text.split()  # of bytes: at exactly the six separators
-    keep, at = [], 0
-    for a, b in spans.tolist():
-        keep += words[at:a]
-        at = b
-    keep += words[at:]
-    return len(words), len(words) - len(keep), spans[:, 0].tolist(), spans[:, 1].tolist(), b" ".join(keep)
+def _finish(window: int):
+    def finish(text: bytes, spans, copy: bool) -> tuple:
+        words = text.split()  # of bytes: at exactly the six separators
+        if copy and len(words) >= window:
+            spans = np.array([[0, len(words)]])
+        keep, at = [], 0
+        for a, b in spans.tolist():
+            keep += words[at:a]
+            at = b
+        keep += words[at:]
+        return len(words), len(words) - len(keep), spans[:, 0].tolist(), spans[:, 1].tolist(), b" ".join(keep)
+
+    return finish
 
 
 def remove_repeated_passages(docs: DataFrame, window: int = 50, gram: int = 6, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -30,7 +36,7 @@ def remove_repeated_passages(docs: DataFrame, window: int = 50, gram: int = 6, d
     A null text has no words. Texts under window words have no spans. Rows with one id never remove each other, be they
     equal or not; rows with a null id come after all others. An empty table gives an empty result. Other columns pass in row.
     """
-    return repeated_spans(docs, Windows("words", window, gram), lempelziv.match, _finish, "n_words long, n_removed long, begins array<long>, ends array<long>, kept string", doc_id, text)
+    return repeated_spans(docs, Windows("words", window, gram), lempelziv.match, _finish(window), "n_words long, n_removed long, begins array<long>, ends array<long>, kept string", doc_id, text)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
