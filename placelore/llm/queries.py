@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from placelore.llm import op5_ngram_jaccard as op5
 from placelore.llm import op8_quality_cascade as op8
 from placelore.llm import op9_substring_dedup as op9
 from placelore.llm import op10_temperature_mixing as op10
@@ -13,6 +14,7 @@ from placelore.llm.op7_learned_partitions import op7_learned_partitions
 QUERIES = {
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_ngram_jaccard": op5.op5_ngram_jaccard,
     "op6_token_counts": op6_token_counts,
     "op7_learned_partitions": op7_learned_partitions,
     "op8_quality_cascade": op8.op8_quality_cascade,
@@ -21,6 +23,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op5_ngram_jaccard": op5.SQL,
     "op8_quality_cascade": op8.SQL,
     "op9_substring_dedup": op9.SQL,
     "op10_temperature_mixing": op10.SQL,
