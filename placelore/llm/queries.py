@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from placelore.llm import op1_chat_formatting as op1
 from placelore.llm import op5_ngram_jaccard as op5
 from placelore.llm import op8_quality_cascade as op8
 from placelore.llm import op9_substring_dedup as op9
@@ -12,6 +13,7 @@ from placelore.llm.op6_token_counts import op6_token_counts
 from placelore.llm.op7_learned_partitions import op7_learned_partitions
 
 QUERIES = {
+    "op1_chat_formatting": op1.op1_chat_formatting,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_ngram_jaccard": op5.op5_ngram_jaccard,
@@ -23,6 +25,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_chat_formatting": op1.SQL,
     "op5_ngram_jaccard": op5.SQL,
     "op8_quality_cascade": op8.SQL,
     "op9_substring_dedup": op9.SQL,
