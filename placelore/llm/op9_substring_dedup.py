@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,9 @@ from placelore.llm.anchors import Windows, repeated_spans
 from placelore.llm.common import read
 
 
+_word = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
 def _finish(window: int):
     def finish(text: bytes, spans, copy: bool) -> tuple:
         words = text.split()  # of bytes: at exactly the six separators
@@ -21,7 +26,14 @@ def _finish(window: int):
             keep += words[at:a]
             at = b
         keep += words[at:]
-        return len(words), len(words) - len(keep), spans[:, 0].tolist(), spans[:, 1].tolist(), b" ".join(keep)
+        if len(spans):  # cut from the text itself: from a span's first word to the word behind it
+            place = [m.start() for m in _word.finditer(text)] + [len(text)]
+            rest, at = [], 0
+            for a, b in spans.tolist():
+                rest.append(text[at : place[a]])
+                at = place[b]
+            text = b"".join([*rest, text[at:]])
+        return len(words), len(words) - len(keep), spans[:, 0].tolist(), spans[:, 1].tolist(), b" ".join(keep), text
 
     return finish
 
@@ -30,13 +42,13 @@ def remove_repeated_passages(docs: DataFrame, window: int = 50, gram: int = 6, d
     """Marks the words of each text covered by window words in a row that also start in a document with a smaller id.
 
     Words are runs of characters other than space and U+0009 to U+000D, unchanged. Returns a row for each row of docs: row
-    (its other columns), n_words, n_removed, begins and ends (maximal spans, in words), kept (words left, joined by a space).
-    Windows are judged on the input.
+    (its other columns), n_words, n_removed, begins and ends (maximal spans, in words), kept (words left, joined by a space)
+    and left_text (the text itself without the spans, its other white space as it was). Windows are judged on the input.
 
     A null text has no words. Texts under window words have no spans. Rows with one id never remove each other, be they
     equal or not; rows with a null id come after all others. An empty table gives an empty result. Other columns pass in row.
     """
-    return repeated_spans(docs, Windows("words", window, gram), lempelziv.match, _finish(window), "n_words long, n_removed long, begins array<long>, ends array<long>, kept string", doc_id, text)
+    return repeated_spans(docs, Windows("words", window, gram), lempelziv.match, _finish(window), "n_words long, n_removed long, begins array<long>, ends array<long>, kept string, left_text string", doc_id, text)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
