@@ -22,8 +22,11 @@ Equality of phrases is decided on 128 bits of hash (64 of the anchor's k-gram, 6
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +45,8 @@ from placelore.shipping import ship
 HOT = 1000
 #: Anchors that a task gathers before it sends them on: bounds the task's memory.
 FLUSH = 2_000_000
+#: Symbols, about, of the phrases that one index holds.
+PART = 1 << 18
 #: Symbols that are hashed at once.
 BLOCK = 1 << 20
 ANCHOR, DIRECT, DOCS, PHRASE, SPAN = range(5)
@@ -262,6 +267,14 @@ def slices(batches, rows_each: int = 256):
     for batch in batches:
         for i in range(0, batch.num_rows, rows_each):
             yield batch.slice(i, rows_each)
+    trim()
+
+
+def trim() -> None:
+    """Hands freed memory back to the system, so that a worker which waits for its next task is small."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def ranges(first: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -343,7 +356,7 @@ def mark(win: Windows, n: int, match: Callable) -> Callable:
             new = np.r_[True, (h[1:] != h[:-1]) | (size[1:] != size[:-1]) | (text[1:] != text[:-1])]
             head, of = np.flatnonzero(new), np.cumsum(new) - 1
             later = did > did[head][of]
-            hit = earlier(win, match, sym, h[head], did[head], off[head], size[head])
+            hit = earlier(win, match, raw, h[head], did[head], off[head], size[head])
             spans = [(did[later], fp[later], start[later], start[later] + size[later] + win.W - 1)]
             at = np.cumsum(size[head]) - size[head]
             own = np.flatnonzero(~later)
@@ -361,35 +374,61 @@ def mark(win: Windows, n: int, match: Callable) -> Callable:
     return go
 
 
-def earlier(win: Windows, match: Callable, sym, h, did, off, size) -> np.ndarray:
+def earlier(win: Windows, match: Callable, raw, h, did, off, size) -> np.ndarray:
     """For each window of the distinct phrases: does a phrase of a smaller document hold it?
 
-    The phrases of an anchor are ranked by document. In round j those with bit j of the rank set are streamed over an index
-    of their siblings with bit j clear and the same higher bits: every smaller rank is met in exactly one round.
+    Anchors with a single phrase are passed over. The others are worked in parts of about PART symbols, an anchor whole.
     """
     hit = np.zeros(size.sum(), bool)
     order = np.lexsort((did, h))
     place = (np.cumsum(size) - size)[order]
     h, did, off, size = h[order], did[order], off[order], size[order]
+    new = np.r_[True, h[1:] != h[:-1]]
+    many = np.diff(np.r_[np.flatnonzero(new), len(h)])
+    several = np.repeat(many > 1, many)
+    place, h, did, off, size = (x[several] for x in (place, h, did, off, size))
+    if not len(h):
+        return hit
+    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    part = (np.cumsum(size + win.W - 1) // PART)[first]
+    for i, j in pairwise([*first[np.r_[True, part[1:] != part[:-1]]].tolist(), len(h)]):
+        pattern, found = streamed(win, match, raw, h[i:j], did[i:j], off[i:j], size[i:j])
+        hit[ranges(place[i:j][pattern], size[i:j][pattern])[found]] = True
+    return hit
+
+
+def streamed(win: Windows, match: Callable, raw, h, did, off, size) -> tuple[np.ndarray, np.ndarray]:
+    """(phrases, for each of their windows: is it found?). A phrase may come several times.
+
+    The phrases of an anchor are ranked by document. In round j those with bit j of the rank set are streamed over an index
+    of their siblings with bit j clear and the same higher bits: every smaller rank is met in exactly one round. All rounds
+    share one index; a block of it belongs to one anchor and one round.
+    """
     group_new = np.r_[True, h[1:] != h[:-1]]
     doc_new = group_new | np.r_[True, did[1:] != did[:-1]]
     group = np.cumsum(group_new) - 1
     nth = np.cumsum(doc_new) - 1
     rank = nth - nth[np.flatnonzero(group_new)][group]
     top = np.maximum.reduceat(rank, np.flatnonzero(group_new))[group]
-    j = 0
+    many = size + win.W - 1
+    none = np.zeros(0, np.int64)
+    index, pattern, index_block, pattern_block = [none], [none], [none], [none]
+    j = blocks = 0
     while (top >> j).any():
         part = (top >> j) > 0
         sibling = ((rank >> j) | 1) << j <= top
-        block_key = group * (int(top.max()) + 2) + (rank >> (j + 1))
-        index = np.flatnonzero(part & ((rank >> j) & 1 == 0) & sibling)
-        pattern = np.flatnonzero(part & ((rank >> j) & 1 == 1))
-        _, block = np.unique(block_key, return_inverse=True)
-        many = size + win.W - 1
-        found = match(win.W, sym, off[index], many[index], block[index], off[pattern], many[pattern], block[pattern])
-        hit[ranges(place[pattern], size[pattern])] |= found
+        _, block = np.unique(group * (int(top.max()) + 2) + (rank >> (j + 1)), return_inverse=True)
+        block += blocks
+        blocks = int(block.max()) + 1
+        low = np.flatnonzero(part & ((rank >> j) & 1 == 0) & sibling)
+        high = np.flatnonzero(part & ((rank >> j) & 1 == 1))
+        for out, x in ((index, low), (index_block, block[low]), (pattern, high), (pattern_block, block[high])):
+            out.append(x)
         j += 1
-    return hit
+    index, index_block, pattern, pattern_block = map(np.concatenate, (index, index_block, pattern, pattern_block))
+    if not len(pattern):
+        return pattern, np.zeros(0, bool)
+    return pattern, match(win.W, raw, off[index], many[index], index_block, off[pattern], many[pattern], pattern_block)
 
 
 def gather(table: pa.Table) -> pa.Table:

@@ -11,8 +11,11 @@ from placelore.llm.arrays import mix, prefix, span
 def suffix_array(sym: np.ndarray) -> np.ndarray:
     """By prefix doubling; sym must end all suffixes differently (unique separators do)."""
     n = len(sym)
-    rank = np.unique(sym, return_inverse=True)[1].astype(np.int64)
+    wide = int(sym.max(initial=0)) + 2
     h = 1
+    if wide <= 1 << 31:  # two symbols at once
+        sym, h = sym * wide + np.r_[sym[1:] + 1, 0][:n], 2
+    rank = np.unique(sym, return_inverse=True)[1].astype(np.int64)
     while n and rank.max() < n - 1:
         ahead = np.zeros(n, np.int64)
         if h < n:
@@ -46,12 +49,16 @@ class RunIndex:
     def extension(self, p: np.ndarray, q: np.ndarray, most: np.ndarray) -> np.ndarray:
         """Length of the longest common prefix of the text at p and at q, up to most."""
         n = len(self.pre) - 1
-        most = np.minimum(most, n - np.maximum(p, q))
-        low, high = np.zeros(len(p), np.int64), most.copy()
-        while (low < high).any():
-            mid = (low + high + 1) >> 1
-            same = span(self.pre, p, p + mid) == span(self.pre, q, q + mid)
-            low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
+        low = np.minimum(most, n - np.maximum(p, q))
+        part = np.flatnonzero(low > 0)
+        part = part[span(self.pre, p[part], p[part] + low[part]) != span(self.pre, q[part], q[part] + low[part])]
+        a, b, high = p[part], q[part], low[part] - 1
+        short = np.zeros(len(part), np.int64)
+        while (short < high).any():
+            mid = (short + high + 1) >> 1
+            same = span(self.pre, a, a + mid) == span(self.pre, b, b + mid)
+            short, high = np.where(same, mid, short), np.where(same, high, mid - 1)
+        low[part] = short
         return low
 
     def statistics(self, sym: np.ndarray, off: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -80,9 +87,9 @@ class RunIndex:
                 has_up = (k > 0) & (self.head_sorted[up] == c2)
                 has_down = (k < runs) & (self.head_sorted[down] == c2)
                 up, down = self.order[up], self.order[down]
-                bound = ell[miss]
-                len_up = np.where(has_up, self.extension(p[miss], self.last_at[up], bound), -1)
-                len_down = np.where(has_down, self.extension(p[miss], self.first_at[down], bound), -1)
+                here, bound = p[miss], ell[miss]
+                shared = self.extension(np.r_[here, here], np.r_[self.last_at[up], self.first_at[down]], np.r_[bound * has_up, bound * has_down])
+                len_up, len_down = np.where(has_up, shared[: len(miss)], -1), np.where(has_down, shared[len(miss) :], -1)
                 above = len_up >= len_down
                 y[miss] = np.where(above, self.goes[up] + self.end[up] - self.begin[up], self.goes[down])
                 q[miss] = np.where(above, self.last_at[up], self.first_at[down]) - 1
@@ -96,16 +103,15 @@ class RunIndex:
 
 
 def match(W: int, raw, off, lens, block, off2, lens2, block2) -> np.ndarray:
-    """Streams the patterns (off2, lens2) over a run index of the phrases (off, lens). True for each window that matches.
+    """Streams the patterns of bytes (off2, lens2) over a run index of the phrases (off, lens). True for each window that matches.
 
-    A symbol is coded with its block, so that phrases meet only those of their own anchor and round.
+    A byte of raw is coded with its block, so that phrases meet only those of their own anchor and round.
     """
     place = raw[ranges(off, lens)].astype(np.int64)
     pattern = raw[ranges(off2, lens2)].astype(np.int64)
-    values, place_code = np.unique(np.concatenate([place, pattern]), return_inverse=True)
-    wide, m = len(values), len(lens)
-    code = m + np.repeat(block, lens) * wide + place_code[: len(place)]
-    code2 = m + np.repeat(block2, lens2) * wide + place_code[len(place) :]
+    m = len(lens)
+    code = m + np.repeat(block, lens) * 256 + place
+    code2 = m + np.repeat(block2, lens2) * 256 + pattern
     text = np.empty(len(code) + m, np.int64)
     stop = np.cumsum(lens) + np.arange(m)
     body = np.ones(len(text), bool)
