@@ -87,8 +87,11 @@ def alternatives(word: Column) -> Column:
     )
 
 
-def spans(words: Column, most: int = P.MAX_WORDS, least: int = 1, vague: tuple[str, ...] = P.VAGUE_WORDS) -> Column:
-    """Phrases with their place: array of (begin from 1, length, phrase), longest first; vague single words left out."""
+def spans(words: Column, forms: Column, most: int = P.MAX_WORDS, least: int = 1, vague: tuple[str, ...] = P.VAGUE_WORDS) -> Column:
+    """Phrases with their place: array of (begin from 1, length, phrase), longest first; vague single words left out.
+
+    forms: the alternatives of each word. Both should be columns of their own, for they are used many times.
+    """
     n = F.size(words)
     none = F.array().cast("array<struct<begin:int,length:int,phrase:string>>")
 
@@ -96,7 +99,7 @@ def spans(words: Column, most: int = P.MAX_WORDS, least: int = 1, vague: tuple[s
         def at(i: Column) -> Column:
             head = F.array_join(F.slice(words, i, size - 1), " ") if size > 1 else F.lit("")
             join = lambda last: F.concat(head, F.lit(" "), last) if size > 1 else last
-            return F.transform(alternatives(F.get(words, i + (size - 2))), lambda last: F.struct(i.alias("begin"), F.lit(size).alias("length"), join(last).alias("phrase")))
+            return F.transform(F.get(forms, i + (size - 2)), lambda last: F.struct(i.alias("begin"), F.lit(size).alias("length"), join(last).alias("phrase")))
 
         every = F.when(n >= size, F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n - (size - 1), F.lit(1))), at))).otherwise(none)
         return F.filter(every, lambda s: ~s["phrase"].isin(*vague)) if size == 1 and vague else every
@@ -104,9 +107,9 @@ def spans(words: Column, most: int = P.MAX_WORDS, least: int = 1, vague: tuple[s
     return F.concat(*(of_size(size) for size in range(most, least - 1, -1)))
 
 
-def combinations(words: Column, most: int = P.MAX_WORDS, least: int = 1, vague: tuple[str, ...] = P.VAGUE_WORDS) -> Column:
+def combinations(words: Column, forms: Column, most: int = P.MAX_WORDS, least: int = 1, vague: tuple[str, ...] = P.VAGUE_WORDS) -> Column:
     """The distinct phrases of a text's words, in order of place."""
-    return F.array_distinct(F.transform(spans(words, most, least, vague), lambda s: s["phrase"]))
+    return F.array_distinct(F.transform(spans(words, forms, most, least, vague), lambda s: s["phrase"]))
 
 
 def code_key(phrase: Column) -> Column:

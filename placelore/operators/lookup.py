@@ -15,7 +15,7 @@ DEPTH = 8
 def name_index(names: DataFrame) -> DataFrame:
     """(code_key, elem_type, elem_id, rwt, seq): every name under its long runs of words. seq keeps the order of insertion."""
     words = names.select("elem_type", "elem_id", "rwt", tokens(F.col("name")).alias("words"))
-    runs = words.select("elem_type", "elem_id", "rwt", F.posexplode(index_phrases(F.col("words"))).alias("nth", "phrase"))
+    runs = words.select("elem_type", "elem_id", "rwt", F.posexplode_outer(index_phrases(F.col("words"))).alias("nth", "phrase")).where("phrase IS NOT NULL")
     return runs.select(code_key(F.col("phrase")).alias("code_key"), "elem_type", "elem_id", "rwt", (F.col("elem_id") * 64 + F.col("nth")).alias("seq"))
 
 

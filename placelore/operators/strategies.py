@@ -28,7 +28,7 @@ def road_matches(hits: DataFrame, texts: DataFrame, nodes: DataFrame, at_roads:
 
     texts: (query_id, words). Returns query_id, phrase, road_type, number, elem_id, node_id, x, y, metres.
     """
-    named = texts.select("query_id", F.explode(roads.road_labels(F.col("words"))).alias("r")).select("query_id", "r.road_type", "r.number")
+    named = texts.select("query_id", F.explode_outer(roads.road_labels(F.col("words"))).alias("r")).where("r IS NOT NULL").select("query_id", "r.road_type", "r.number")
     places = hits.where((F.col("elem_type") == NODE) & F.col("rwt").isin(*PLACES)).select("query_id", "phrase", "elem_id").distinct()
     pairs = places.join(named, "query_id").join(nodes.select(F.col("node_id").alias("elem_id"), F.col("x").alias("px"), F.col("y").alias("py")), "elem_id")
     near = lookup.closest_road_node(pairs.withColumn("key", F.col("elem_id")), at_roads)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from placelore import params as P
 from placelore.functions import geo
-from placelore.functions.text import phrase_words, read_words, spans
+from placelore.functions.text import alternatives, phrase_words, read_words, spans
 from placelore.operators import lookup, ranking, strategies
 
 
@@ -43,11 +43,13 @@ class Read:
     hits: DataFrame
 
 
-def read(texts: DataFrame, m: Map, stop_words=P.STOP_WORDS, vague=P.VAGUE_WORDS) -> Read:
-    """texts: (query_id, text). Texts of three bytes or fewer are not searched."""
+def read(texts: DataFrame, m: Map, stop_words=P.STOP_WORDS, vague=P.VAGUE_WORDS, cache: bool = False) -> Read:
+    """texts: (query_id, text). Texts of three bytes or fewer are not searched. cache: keep the spans for several uses."""
     words = texts.where(F.octet_length("text") > 3).select("query_id", read_words(F.col("text"), stop_words).alias("words"))
-    able = words.select("query_id", phrase_words(F.col("words")).alias("w"))  # a column of its own: spans uses it many times
-    each = able.select("query_id", F.explode(spans(F.col("w"), vague=vague)).alias("s")).select("query_id", "s.begin", "s.length", "s.phrase")
+    able = words.select("query_id", phrase_words(F.col("words")).alias("w")).withColumn("forms", F.transform("w", alternatives))
+    # outer, and filtered behind: an inner explode would make the optimiser work the whole expression once more as a filter
+    each = able.select("query_id", F.explode_outer(spans(F.col("w"), F.col("forms"), vague=vague)).alias("s")).where("s IS NOT NULL").select("query_id", "s.begin", "s.length", "s.phrase")
+    each = each.persist() if cache else each
     phrases = each.select("query_id", "phrase").distinct()
     return Read(words, each, phrases, lookup.hits(phrases, m.name_index))
 
@@ -60,7 +62,7 @@ def query_stats(r: Read) -> DataFrame:
 
 def results(texts: DataFrame, m: Map, cache: bool = True) -> DataFrame:
     """All results of all strategies, unranked. The elements that texts name are found once and kept for the strategies."""
-    r = read(texts, m)
+    r = read(texts, m, cache=cache)
     hits = r.hits.persist() if cache else r.hits
     centre = lookup.centres(hits, m.nodes, m.way_nodes, m.flat)
     centre = centre.persist() if cache else centre

@@ -128,7 +128,7 @@ def d17(spark, d):
 @query("d18_road_labels", O.sql("SELECT query_id, road_type, number::INT AS number FROM labels"))
 def d18(spark, d):
     w = read(B.texts(spark, d), the_map(spark, d)).words
-    return w.select("query_id", F.explode(roads.road_labels(F.col("words"))).alias("r")).select("query_id", "r.road_type", "r.number")
+    return w.select("query_id", F.explode_outer(roads.road_labels(F.col("words"))).alias("r")).where("r IS NOT NULL").select("query_id", "r.road_type", "r.number")
 
 
 _REF = "CASE o_orderkey % 6 WHEN 0 THEN 'E ' || (o_orderkey % 70) WHEN 1 THEN 'K ' || (o_orderkey % 900 + 1) WHEN 2 THEN (o_orderkey % 700 + 1) || ';' || (o_orderkey % 90 + 1) WHEN 3 THEN 'E 4.0' || (o_orderkey % 9) WHEN 4 THEN 'AB ' || (o_orderkey % 300 + 1) || ', C ' || (o_orderkey % 300 + 2) ELSE 'Q 7' END"
@@ -232,7 +232,7 @@ def e07(spark, d):
 def e08(spark, d):
     m = the_map(spark, d)
     r = read(B.texts(spark, d), m)
-    named = r.words.select("query_id", F.explode(roads.road_labels(F.col("words"))).alias("r")).select("query_id", "r.road_type", "r.number")
+    named = r.words.select("query_id", F.explode_outer(roads.road_labels(F.col("words"))).alias("r")).where("r IS NOT NULL").select("query_id", "r.road_type", "r.number")
     p = r.hits.where((F.col("elem_type") == 1) & F.col("rwt").isin(*PLACES)).select("query_id", F.col("elem_id").alias("key")).distinct().join(named, "query_id")
     p = p.join(m.nodes.select(F.col("node_id").alias("key"), F.col("x").alias("px"), F.col("y").alias("py")), "key")
     return lookup.closest_road_node(p, lookup.road_nodes(m.road_ways, m.way_nodes, m.nodes))
