@@ -33,7 +33,7 @@ def is_valid(x: Column, y: Column) -> Column:
 
 
 def _metres(a: Column, b: Column) -> Column:
-    return F.expr("0").cast("long") + F.floor((F.abs(a.cast("long") - b.cast("long")) + 5) / 10)
+    return F.call_function("div", F.abs(a.cast("long") - b.cast("long")) + 5, F.lit(10))
 
 
 def distance_xy_squared(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
@@ -82,8 +82,7 @@ def in_rings(x: Column, y: Column, rings: Column) -> Column:
 
 def _div(a: Column, b: Column) -> Column:
     """Division of longs toward zero; null where b is 0 (the edge then does not cross)."""
-    q = F.abs(a) / F.nullif(F.abs(b), F.lit(0))
-    return F.when(F.signum(a.cast("double")) * F.signum(b.cast("double")) < 0, -F.floor(q)).otherwise(F.floor(q))
+    return F.call_function("div", a, F.nullif(b, F.lit(0)))
 
 
 def segment_distance_squared(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:

@@ -172,7 +172,8 @@ def admin_regions(named: DataFrame, skip: tuple[int, ...] = ()) -> DataFrame:
     ok = named.where((F.col("admin_level") > 0) & (F.col("admin_level") < 8) & (F.octet_length("name") > 1))
     ok = ok.where(~F.col("rel_id").isin(*skip)) if skip else ok
     low = ok.select(normalise(F.col("name")).alias("low"), "admin_level", "rel_id")
-    return low.select(admin_name(F.col("low")).alias("norm_name"), "admin_level", "rel_id")
+    # never null, so a join's null filter does not work the expression once more
+    return low.select(F.coalesce(admin_name(F.col("low")), F.lit("")).alias("norm_name"), "admin_level", "rel_id")
 
 
 def admin_by_name(regions: DataFrame) -> DataFrame:

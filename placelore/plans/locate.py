@@ -11,6 +11,7 @@ from placelore import params as P
 from placelore.functions import geo
 from placelore.functions.text import alternatives, phrase_words, read_words, spans
 from placelore.operators import lookup, ranking, strategies
+from placelore.scratch import table
 
 
 @dataclass
@@ -44,12 +45,12 @@ class Read:
 
 
 def read(texts: DataFrame, m: Map, stop_words=P.STOP_WORDS, vague=P.VAGUE_WORDS, cache: bool = False) -> Read:
-    """texts: (query_id, text). Texts of three bytes or fewer are not searched. cache: keep the spans for several uses."""
+    """texts: (query_id, text). Texts of three bytes or fewer are not searched. cache: write words and spans once, for several uses."""
     words = texts.where(F.octet_length("text") > 3).select("query_id", read_words(F.col("text"), stop_words).alias("words"))
     able = words.select("query_id", phrase_words(F.col("words")).alias("w")).withColumn("forms", F.transform("w", alternatives))
     # outer, and filtered behind: an inner explode would make the optimiser work the whole expression once more as a filter
     each = able.select("query_id", F.explode_outer(spans(F.col("w"), F.col("forms"), vague=vague)).alias("s")).where("s IS NOT NULL").select("query_id", "s.begin", "s.length", "s.phrase")
-    each = each.persist() if cache else each
+    words, each = (table(words, "words"), table(each, "spans")) if cache else (words, each)
     phrases = each.select("query_id", "phrase").distinct()
     return Read(words, each, phrases, lookup.hits(phrases, m.name_index))
 
@@ -61,11 +62,15 @@ def query_stats(r: Read) -> DataFrame:
 
 
 def results(texts: DataFrame, m: Map, cache: bool = True) -> DataFrame:
-    """All results of all strategies, unranked. The elements that texts name are found once and kept for the strategies."""
+    """All results of all strategies, unranked.
+
+    What several strategies use (words, spans, hits, centres) is worked once and written to the shared scratch folder: they
+    read it from there, plans stay short, and a lost executor costs no more than its tasks.
+    """
     r = read(texts, m, cache=cache)
-    hits = r.hits.persist() if cache else r.hits
+    hits = table(r.hits, "hits") if cache else r.hits
     centre = lookup.centres(hits, m.nodes, m.way_nodes, m.flat)
-    centre = centre.persist() if cache else centre
+    centre = table(centre, "centres") if cache else centre
     places = strategies.global_places(hits)
     regions = lookup.identified_regions(r.phrases, m.admin_regions)
     at_roads = lookup.road_nodes(m.road_ways, m.way_nodes, m.nodes)
@@ -85,6 +90,7 @@ def locate(texts: DataFrame, m: Map, k: int | None = P.TOP_K, dedupe_metres: int
     areas: (code, name) adds municipality and county names.
     """
     found = results(texts, m, cache)
+    found = table(found, "results") if cache else found
     found = ranking.dedupe(found, dedupe_metres) if dedupe_metres else found
     best = ranking.ranked(found, k)
     coded = lookup.area_codes(best, m.region_rings, m.scb_areas, county=False).withColumnRenamed("code", "scb_code")
