@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from placelore.scratch import scratch_dir, table
 from placelore.shipping import ship
 
+__all__ = ["NO_ID", "buckets", "doc_key", "fresh", "input_bytes", "read", "scratch_dir", "table"]
+
 #: Stands for a null doc_id where documents are ordered: it comes after every real id.
 NO_ID = (1 << 63) - 1
 
@@ -20,43 +19,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir.
-
-    Only where it is unset (tests, notebooks) a folder of our own is set up, and then also as checkpoint dir.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get().rstrip("/")
-    own = tempfile.mkdtemp(prefix="placelore-")
-    spark.sparkContext.setCheckpointDir(own)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session may have ended before us; the folder is scratch space  # noqa: BLE001
-        pass
-
-
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes df as a Parquet table to the shared scratch folder and reads it back.
-
-    The table survives the loss of any executor. It is removed when the driver exits.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(schema).parquet(path)
-
-
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the bytes behind df: file sizes for scans. Sizes plans; never changes results."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
