@@ -4,17 +4,21 @@
 2. Documents of one set (copies) become one node, counted by partial aggregates, so a large group of copies is one row.
 3. Bands are shuffled by their hash. In a bucket every node is paired with the bucket's smallest node: a star, not all pairs.
 4. Pairs are verified on full sets, and verified links give classes (connected components).
-5. Pairs of a bucket that star and classes leave open, those of nodes in different classes, are verified too. So every
-   candidate pair is either verified or already inside one class, and a bucket within one class emits no pairs.
+5. Pairs of a bucket that star and classes leave open, those of nodes in different classes, are verified too, in blocks of
+   bounded size that emit one link for two classes. So every candidate pair is either verified or already inside one class,
+   and no bucket, not even a large one just under the threshold, emits its pairs.
 6. Links are counted inside classes, on full sets, in blocks of bounded size that emit counts and never pairs.
 
-Sketch and size only skip pairs that cannot reach the threshold: sizes by |A| <= |B| * threshold, sketches beyond seven standard
-deviations.
+Size and sketch only skip pairs: sizes those with |A| < |B| * threshold, which cannot be linked; sketches those further apart
+than SIGMAS standard deviations from what the threshold makes likely (3 in ten million linked pairs, far below what banding
+itself may miss). Without it a group of copies just under the threshold would cost its square.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +33,11 @@ from placelore.shipping import ship
 
 WORDS, THRESHOLD = 5, 0.8
 #: Probability that a pair at the threshold shares a band, at least; hashes at most; bits of the sketch.
-RECALL, HASHES, BITS = 0.9995, 128, 128
-#: Nodes of a block in which links are counted.
-BLOCK = 128
+RECALL, HASHES, BITS = 0.9995, 128, 512
+#: Standard deviations that a pair's sketches may be further apart than expected at the threshold.
+SIGMAS = 5.0
+#: Nodes of a block in which pairs are verified or counted.
+BLOCK = 256
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
@@ -62,18 +68,23 @@ def shingles(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.nda
 
 
 def signatures(gram: np.ndarray, starts: np.ndarray, hashes: int) -> np.ndarray:
-    """MinHash values, one row for each set; sets are gram[starts[i]:starts[i + 1]], none empty."""
+    """32-bit MinHash values, one row for each set; sets are gram[starts[i]:starts[i + 1]], none empty.
+
+    One 64-bit product gives two hashes: its upper and its lower half.
+    """
     rng = np.random.default_rng(5)
-    mult = rng.integers(1, 1 << 63, hashes, dtype=np.int64).astype(U) * U(2) + U(1)
-    add = rng.integers(0, 1 << 63, hashes, dtype=np.int64).astype(U)
-    out = np.empty((len(starts), hashes), U)
-    for first in range(0, len(starts), 64):  # a stretch that stays in the cache
-        last = min(first + 64, len(starts))
+    mult = rng.integers(1, 1 << 63, hashes // 2, dtype=np.int64).astype(U) * U(2) + U(1)
+    shift = rng.integers(0, 1 << 63, hashes // 2, dtype=np.int64).astype(U)
+    out = np.empty((len(starts), hashes), np.uint32)
+    for first in range(0, len(starts), 32):  # a stretch that stays in the cache
+        last = min(first + 32, len(starts))
         low, high = starts[first], starts[last] if last < len(starts) else len(gram)
         part, at = gram[low:high], starts[first:last] - low
-        for j in range(hashes):
-            out[first:last, j] = np.minimum.reduceat(part * mult[j] + add[j], at)
-    return mix(out)
+        for j in range(hashes // 2):
+            both = (part * mult[j] + shift[j]).view(np.uint32).reshape(-1, 2)
+            out[first:last, 2 * j] = np.minimum.reduceat(both[:, 0], at)
+            out[first:last, 2 * j + 1] = np.minimum.reduceat(both[:, 1], at)
+    return out
 
 
 def node_id(doc_id: str, text: str):
@@ -87,25 +98,25 @@ def signed(docs: DataFrame, words: int, bands: int, rows: int, doc_id: str, text
     def go(batches):
         for batch in slices(batches, 1024):
             texts, ids = texts_of(batch, "body"), batch.column("node").to_numpy()
-            for first, last in groups(texts):
+            for first, last in groups(texts, 1 << 19):
                 gram, of = shingles(texts[first:last], words)
                 if not len(gram):
                     continue
                 have, starts = np.unique(of, return_index=True)
                 size = np.diff(np.r_[starts, len(gram)])
-                sig = signatures(gram, starts, hashes)
+                sig = mix(signatures(gram, starts, hashes))
                 place = np.arange(1, rows + 1, dtype=U) * U(BASE)
                 band = np.stack([mix((sig[:, b * rows : (b + 1) * rows] * place).sum(1, dtype=U) + U(b)) for b in range(bands)], 1)
                 bits = np.packbits((sig[:, :BITS] & U(1)).astype(np.uint8), axis=1).view(np.int64)
                 k1 = np.add.reduceat(mix(gram), starts)
                 k2 = np.add.reduceat(mix(gram ^ U(BASE)), starts)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[first:last][have]), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(size.astype(np.int32)), pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy()), pa.FixedSizeListArray.from_arrays(pa.array(band.view(np.int64).ravel()), bands).cast(pa.list_(pa.int64()))],
-                    ["node", "k1", "k2", "size", "s1", "s2", "bands"],
+                    [pa.array(ids[first:last][have]), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(size.astype(np.int32)), pa.FixedSizeListArray.from_arrays(pa.array(bits.ravel()), bits.shape[1]).cast(pa.list_(pa.int64())), pa.FixedSizeListArray.from_arrays(pa.array(band.view(np.int64).ravel()), bands).cast(pa.list_(pa.int64()))],
+                    ["node", "k1", "k2", "size", "sketch", "bands"],
                 )
 
     kept = docs.select(node_id(doc_id, text).alias("node"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("body"))
-    return kept.mapInArrow(go, "node long, k1 long, k2 long, size int, s1 long, s2 long, bands array<long>")
+    return kept.mapInArrow(go, "node long, k1 long, k2 long, size int, sketch array<long>, bands array<long>")
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
@@ -117,7 +128,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, words: int, doc_id: str, text: st
         press = zstandard.ZstdDecompressor()
         for batch in slices(batches, 1024):
             texts = [press.decompress(z) for z in batch.column("z").to_pylist()]
-            for first, last in groups(texts):
+            for first, last in groups(texts, 1 << 19):
                 gram, of = shingles(texts[first:last], words)
                 edge = np.searchsorted(of, np.arange(last - first + 1))
                 yield pa.RecordBatch.from_arrays([batch.column("node").slice(first, last - first), pa.array([gram[i:j].tobytes() for i, j in zip(edge[:-1], edge[1:], strict=True)], pa.binary())], ["node", "grams"])
@@ -136,7 +147,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
 
     def go(batches):
-        for batch in batches:
+        for batch in slices(batches, 64):
             a, b = (batch.column(c).to_pylist() for c in ("ga", "gb"))
             ok = [similar(np.frombuffer(x, U), np.frombuffer(y, U), threshold) for x, y in zip(a, b, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
@@ -150,41 +161,68 @@ def near(x: str, y: str, threshold: float):
     """Can the two rows reach the threshold, by size and sketch?"""
     c = lambda side, name: F.col(f"{side}.{name}")
     agree = (1 + threshold) / 2
-    bound = BITS * (1 - agree) + 7 * math.sqrt(BITS * agree * (1 - agree))
-    apart = F.bit_count(c(x, "s1").bitwiseXOR(c(y, "s1"))) + F.bit_count(c(x, "s2").bitwiseXOR(c(y, "s2")))
+    bound = BITS * (1 - agree) + SIGMAS * math.sqrt(BITS * agree * (1 - agree))
+    apart = reduce(add, (F.bit_count(c(x, "sketch")[i].bitwiseXOR(c(y, "sketch")[i])) for i in range(BITS // 64)))
     return (F.least(c(x, "size"), c(y, "size")) >= F.greatest(c(x, "size"), c(y, "size")) * threshold - 1e-9) & (apart <= F.lit(int(bound)))
 
 
+def linked_in(t: pa.Table, threshold: float) -> np.ndarray:
+    """Which rows of a pair of blocks (or of one block) are linked, on full sets. Of two blocks only pairs across them count."""
+    side = t.column("side").to_numpy()
+    grams = [np.frombuffer(g, U) for g in t.column("grams").to_pylist()]
+    size = np.array([len(g) for g in grams])
+    flat, of = np.concatenate(grams), np.repeat(np.arange(len(grams)), size)
+    _, code, many = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(many > 1)
+    place = np.full(len(many), -1)
+    place[shared] = np.arange(len(shared))
+    of, code = of[many[code] > 1], place[code[many[code] > 1]]
+    order = np.argsort(code, kind="stable")
+    of, code = of[order], code[order]
+    both = np.zeros((len(grams), len(grams)))
+    for low in range(0, len(shared), 4096):
+        i, j = np.searchsorted(code, [low, low + 4096])
+        x = np.zeros((len(grams), min(4096, len(shared) - low)), np.float32)
+        x[of[i:j], code[i:j] - low] = 1
+        both += x @ x.T
+    linked = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9
+    np.fill_diagonal(linked, False)
+    if t.column("i")[0] != t.column("j")[0]:
+        linked &= side[:, None] != side[None, :]
+    return linked
+
+
 def block_links(threshold: float):
     """For two blocks of a class (or one): how many documents each node of one is linked to in the other."""
 
     def go(t: pa.Table) -> pa.Table:
-        node, side, copies = t.column("node").to_numpy(), t.column("side").to_numpy(), t.column("copies").to_numpy()
-        grams = [np.frombuffer(g, U) for g in t.column("grams").to_pylist()]
-        size = np.array([len(g) for g in grams])
-        flat, of = np.concatenate(grams), np.repeat(np.arange(len(grams)), size)
-        _, code, many = np.unique(flat, return_inverse=True, return_counts=True)
-        shared = np.flatnonzero(many > 1)
-        place = np.full(len(many), -1)
-        place[shared] = np.arange(len(shared))
-        of, code = of[many[code] > 1], place[code[many[code] > 1]]
-        order = np.argsort(code, kind="stable")
-        of, code = of[order], code[order]
-        both = np.zeros((len(grams), len(grams)))
-        for low in range(0, len(shared), 4096):
-            i, j = np.searchsorted(code, [low, low + 4096])
-            x = np.zeros((len(grams), min(4096, len(shared) - low)), np.float32)
-            x[of[i:j], code[i:j] - low] = 1
-            both += x @ x.T
-        linked = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9
-        np.fill_diagonal(linked, False)
-        if t.column("i")[0] != t.column("j")[0]:  # two blocks: only pairs across them count here
-            linked &= side[:, None] != side[None, :]
-        return pa.table({"node": pa.array(node), "links": pa.array((linked * copies[None, :]).sum(1).astype(np.int64))})
+        copies = t.column("copies").to_numpy()
+        links = (linked_in(t, threshold) * copies[None, :]).sum(1).astype(np.int64)
+        return pa.table({"node": t.column("node"), "links": pa.array(links)})
+
+    return go
+
+
+def block_bridges(threshold: float):
+    """For two blocks of a bucket (or one): a link for each two classes that are linked there."""
+
+    def go(t: pa.Table) -> pa.Table:
+        node, comp = t.column("node").to_numpy(), t.column("comp").to_numpy()
+        a, b = np.nonzero(linked_in(t, threshold) & (comp[:, None] < comp[None, :]))
+        _, first = np.unique(np.stack([comp[a], comp[b]], 1), axis=0, return_index=True)
+        return pa.table({"a": pa.array(node[a[first]]), "b": pa.array(node[b[first]])})
 
     return go
 
 
+def in_blocks(rows: DataFrame, key: str) -> DataFrame:
+    """rows (key, node, ...) once for each pair of blocks (i <= j) of its key that holds the row's block; side: is it block j?"""
+    size = rows.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = rows.join(size, key).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    every = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return every.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other"), "side": F.when(F.col("block") > F.col("other"), 1).otherwise(0)}).drop("blocks", "block", "other")
+
+
 def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, links: bool = True, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """For each document: the class it belongs to and the number of documents it is linked to.
 
@@ -199,23 +237,23 @@ def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, r
     ship(docs.sparkSession)
     bands, rows = choose_bands(threshold, recall)
     sign = table(signed(docs, words, bands, rows, doc_id, text), "signed")
-    nodes = table(sign.groupBy("k1", "k2").agg(F.min("node").alias("rep"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("size", "s1", "s2", "bands"))), "nodes")
-    band = nodes.select(F.col("rep").alias("node"), "size", "s1", "s2", F.explode("bands").alias("band"))
-    hub = band.groupBy("band").agg(F.min(F.struct("node", "size", "s1", "s2")).alias("h"), F.count("*").alias("n")).where("n > 1")
-    full = table(band.join(hub.select("band", "h"), "band"), "buckets")
-    star = full.select("node", "size", "s1", "s2", F.col("h.node").alias("hn"), F.struct("size", "s1", "s2").alias("m"), "h").where("node <> hn").where(near("m", "h", threshold))
-    pairs = table(star.select(F.col("hn").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    nodes = table(sign.groupBy("k1", "k2").agg(F.min("node").alias("rep"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("size", "sketch", "bands"))), "nodes")
+    band = nodes.select(F.col("rep").alias("node"), "size", F.explode("bands").alias("band"))
+    hub = band.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    sketch = nodes.select(F.col("rep").alias("node"), "sketch")
+    full = table(band.join(hub, "band").join(sketch, "node"), "buckets")
+    heads = full.where("node = hub").select("node", "size", "sketch").distinct().select(F.col("node").alias("hub"), F.struct("size", "sketch").alias("h"))
+    star = full.where("node <> hub").groupBy("hub", "node").agg(F.first(F.struct("size", "sketch")).alias("m")).join(heads, "hub").where(near("m", "h", threshold))
+    pairs = table(star.select(F.col("hub").alias("a"), F.col("node").alias("b")), "pairs")
     want = full.select("node").distinct()
     sets = table(sets_of(docs, want, words, doc_id, text), "sets")
     edges = table(verified(pairs, sets, threshold), "links")
     comp = components(edges)
     # pairs of a bucket between different classes
-    led = full.drop("h").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    led = full.drop("hub").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = led.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
-    open_ = led.join(mixed, "band", "left_semi").select("band", "node", "comp", "size", "s1", "s2")
-    more = open_.alias("x").join(open_.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.node") < F.col("y.node")) & near("x", "y", threshold))
-    rest = more.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    edges2 = table(verified(rest, sets, threshold), "links")
+    open_ = led.join(mixed, "band", "left_semi").select("band", "node", "comp")
+    edges2 = table(in_blocks(open_, "band").join(sets, "node").groupBy("band", "i", "j").applyInArrow(block_bridges(threshold), "a long, b long").distinct(), "links")
     if not edges2.isEmpty():
         comp = components(edges.union(edges2))
     member = sign.select("node", "k1", "k2").distinct().join(nodes.select("k1", "k2", "rep", "copies"), ["k1", "k2"])
@@ -230,11 +268,7 @@ def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, r
 def counted(comp: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """(node, links): documents of other nodes that the node is linked to, counted in pairs of blocks of each class."""
     m = comp.join(nodes.select(F.col("rep").alias("node"), "copies"), "node")
-    size = m.groupBy("comp").agg(F.count("*").alias("m")).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).select("comp", "blocks")
-    dealt = m.join(size, "comp").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    # block pairs (i, j) with i <= j that hold this node's block
-    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("comp", "node", "copies", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when((F.col("block") > F.col("other")), 1).otherwise(0).alias("side"))
-    got = spread.join(sets, "node").groupBy("comp", "i", "j").applyInArrow(block_links(threshold), "node long, links long")
+    got = in_blocks(m, "comp").join(sets, "node").groupBy("comp", "i", "j").applyInArrow(block_links(threshold), "node long, links long")
     return got.groupBy("node").agg(F.sum("links").alias("links"))
 
 
