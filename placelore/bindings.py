@@ -143,3 +143,43 @@ CTES = {
     "texts": f"""SELECT k AS query_id, 'Olycka på ' || ({_LETTERS_SQL})[r % 24 + 1] || ' ' || (CASE WHEN r % 24 = 23 THEN 500 + r // 24 % 400 ELSE 1 + r // 24 % 400 END)::VARCHAR || ' nära ' || {sql_word('p1 // 40', 'K', 'by')} || ' ' || {sql_word('p1 // 5', 's', 'åns')} || ', mellan ' || {sql_word('g1 // 2', 'G', 'gatan')} || ' och ' || {sql_word('((g1 + 2) % m) // 2', 'G', 'gatan')} || '.' || chr(10) || '# anmälan' || chr(10) || 'Polisen i ' || {sql_word('c_nationkey', 'M', 'hult')} || ' och ' || {sql_word('c_nationkey % 5', 'L', 'lands')} || ' län' AS text
  FROM (SELECT c_custkey AS k, c_nationkey, m, c_custkey * 13 % n AS p1, (c_custkey * 17 % m) // 16 AS r, c_custkey * 17 % m AS g1 FROM customer, (SELECT count(*) AS n FROM part), (SELECT count(*) AS m FROM orders))""",
 }
+
+
+PLACE_TAG = (("ECONOMY", "town"), ("LARGE", "county"), ("MEDIUM", "city"), ("PROMO", "hamlet"), ("SMALL", "island"), ("STANDARD", "farm"))
+
+
+def nodes_raw(spark: SparkSession, d: str) -> DataFrame:
+    """Points with tags, as they come from a map file."""
+    k = F.col("p_partkey")
+    place = None
+    for t, tag in PLACE_TAG:
+        place = F.when(F.col("p_type") == t, tag) if place is None else place.when(F.col("p_type") == t, tag)
+    tags = F.map_filter(
+        F.create_map(
+            F.lit("place"), place, F.lit("natural"), F.when(k % 11 == 0, "water"), F.lit("name"), F.when(k % 4 != 0, F.col("p_name")),
+            F.lit("alt_name"), F.when(k % 3 == 0, F.col("p_brand")), F.lit("name:en"), F.when(k % 5 == 0, F.concat(F.col("p_name"), F.lit(" en"))), F.lit("name:sv"), F.when(k % 7 == 0, F.col("p_name")), F.lit("nickname"), F.lit("x"),
+        ),
+        lambda _, v: v.isNotNull(),
+    )
+    return load(spark, d, "part").select((k + 1).alias("id"), (F.lit(56.0) + (k % 700) / 70.0).alias("lat"), (F.lit(12.0) + (k % 900) / 100.0).alias("lon"), tags.alias("tags"))
+
+
+def ways_raw(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    highway = F.element_at(F.array(*(F.lit(h) for h in ("motorway", "secondary", "residential", "footway", "primary"))), (k % 5 + 1).cast("int"))
+    ref = F.when(k % 2 == 0, F.concat(F.lit("E "), (k % 70 + 1).cast("string"))).otherwise((k % 900 + 1).cast("string"))
+    tags = F.map_filter(F.create_map(F.lit("highway"), highway, F.lit("ref"), F.when(k % 3 == 0, ref), F.lit("building"), F.when(k % 7 == 0, "yes")), lambda _, v: v.isNotNull())
+    refs = way_nodes(spark, d).groupBy("way_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "node_id"))), lambda s: s["node_id"]).alias("refs"))
+    return load(spark, d, "orders").select((k + 1).alias("id"), tags.alias("tags")).join(refs, F.col("id") == F.col("way_id")).select("id", "refs", "tags")
+
+
+def ring_ways(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, way_nodes, nodes): each region's ring cut in ways of one edge, every other one backwards."""
+    e = region_edges(spark, d)
+    n = F.count("*").over(Window.partitionBy("rel_id"))
+    node = F.col("rel_id") * 10 + F.col("pos")
+    at = e.withColumn("n", n)
+    nxt = F.col("rel_id") * 10 + (F.col("pos") + 1) % F.col("n")
+    ways = at.select("rel_id", "pos", node.alias("way_id"), F.when(F.col("pos") % 2 == 0, F.array(node, nxt)).otherwise(F.array(nxt, node)).alias("refs"))
+    members = ways.select("rel_id", (F.col("pos") + 1).alias("pos"), F.lit(2).alias("member_type"), F.col("way_id").alias("member_id"), F.lit(1).alias("role_flags"))
+    return members, ways.select("way_id", F.posexplode("refs").alias("pos", "node_id")).withColumn("pos", F.col("pos") + 1), e.select(node.alias("node_id"), F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from placelore import bindings as B
 from placelore import params as P
 from placelore.functions import geo, roads, scoring, text
-from placelore.operators import lookup, ranking, strategies
+from placelore.operators import ingest, lookup, polygons, ranking, render, strategies
 from placelore.plans import oracle as O
 from placelore.plans.locate import Map, locate, query_stats, read, results
 from placelore.schema import PLACES
@@ -527,3 +527,83 @@ def h21(spark, d):
 def locate_all(spark, d):
     out = locate(B.texts(spark, d), the_map(spark, d))
     return out.select("query_id", F.col("rank").cast("long").alias("rank"), "strategy", "x", "y", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), F.round("quality", 6).alias("quality"), "scb_code", "origin", "elements")
+
+
+# ---- map data to silver tables --------------------------------------------------------------------------------------
+
+_PLACE = "CASE p_type " + " ".join(f"WHEN '{t}' THEN '{v}'" for t, v in B.PLACE_TAG) + " END"
+
+
+@query("c04_node_class", f"SELECT p_partkey + 1 AS id, CASE WHEN p_partkey % 11 = 0 THEN 401 ELSE CASE {_PLACE} WHEN 'city' THEN 105 WHEN 'town' THEN 110 WHEN 'hamlet' THEN 115 WHEN 'island' THEN 400 ELSE 0 END END AS rwt FROM part")
+def c04(spark, d):
+    return B.nodes_raw(spark, d).select("id", ingest.node_class().alias("rwt"))
+
+
+_NAMES = """SELECT p_partkey + 1 AS id, key, name FROM (
+ SELECT p_partkey, 'name' AS key, p_name AS name FROM part WHERE p_partkey % 4 <> 0 UNION ALL SELECT p_partkey, 'alt_name', p_brand FROM part WHERE p_partkey % 3 = 0
+ UNION ALL SELECT p_partkey, 'name:sv', p_name FROM part WHERE p_partkey % 7 = 0) JOIN (SELECT p_partkey FROM part WHERE p_type <> 'LARGE') USING (p_partkey)"""
+
+
+@query("c02_names", f"SELECT id AS elem_id, name, min(key) AS key FROM ({_NAMES}) GROUP BY ALL")
+def c02(spark, d):
+    n = B.nodes_raw(spark, d)
+    return ingest.all_names(ingest.named_elements(n, n.limit(0).select("id", F.array().cast("array<long>").alias("refs"), "tags"), n.limit(0).select("id", "tags"))).select("elem_id", "name", "key")
+
+
+@query("c03_best_names", f"SELECT id AS elem_id, coalesce(max(name) FILTER (key = 'name'), arg_min(name, key)) AS name FROM ({_NAMES}) GROUP BY id")
+def c03(spark, d):
+    n = B.nodes_raw(spark, d)
+    return ingest.best_name(ingest.all_names(ingest.named_elements(n, n.limit(0).select("id", F.array().cast("array<long>").alias("refs"), "tags"), n.limit(0).select("id", "tags")))).select("elem_id", "name")
+
+
+@query("c06_way_class", O.sql("SELECT way_id AS id, CASE o_orderkey % 5 WHEN 0 THEN 200 WHEN 1 THEN 205 WHEN 2 THEN 210 WHEN 4 THEN 200 ELSE CASE WHEN o_orderkey % 7 = 0 THEN 300 ELSE 0 END END AS rwt FROM orders JOIN (SELECT DISTINCT way_id FROM way_nodes) ON way_id = o_orderkey + 1"))
+def c06(spark, d):
+    return B.ways_raw(spark, d).select("id", ingest.way_class().alias("rwt"))
+
+
+@query("c07_road_ways", O.sql("SELECT CASE WHEN o_orderkey % 2 = 0 THEN CASE WHEN o_orderkey % 70 + 1 IN (4, 6, 10, 12, 14, 16, 18, 20, 22, 45, 47, 55, 65, 265) THEN 0 ELSE 10 END WHEN o_orderkey % 900 + 1 >= 500 THEN 23 ELSE 1 END AS road_type, (CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 70 + 1 ELSE o_orderkey % 900 + 1 END)::INT AS number, way_id FROM orders JOIN (SELECT way_id FROM way_nodes GROUP BY way_id HAVING count(*) >= 2) ON way_id = o_orderkey + 1 WHERE o_orderkey % 3 = 0 AND o_orderkey % 5 IN (0, 1, 4)"))
+def c07(spark, d):
+    return ingest.road_ways(B.ways_raw(spark, d))
+
+
+@query("a06_way_nodes", O.sql("SELECT way_id, pos, node_id FROM way_nodes JOIN (SELECT way_id FROM way_nodes GROUP BY way_id HAVING count(*) >= 2) USING (way_id)"))
+def a06(spark, d):
+    return ingest.way_nodes(B.ways_raw(spark, d)).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("a08_offset_union", "SELECT id FROM (SELECT p_partkey + 1 AS id FROM part UNION ALL SELECT p_partkey + 2 + (SELECT max(p_partkey) + 1 FROM part) FROM part)")
+def a08(spark, d):
+    n = B.nodes_raw(spark, d)
+    w = n.limit(0).select("id", F.array().cast("array<long>").alias("refs"), "tags")
+    r = n.limit(0).select("id", F.array().cast("array<struct<type:string,ref:long,role:string>>").alias("members"), "tags")
+    return ingest.offset_union([(n, w, r), (n, w, r)])[0].select("id")
+
+
+@query("f02_region_rings", O.sql("SELECT rel_id, minx, miny, maxx, maxy, n FROM region_boxes JOIN (SELECT rel_id, count(*) AS n FROM region_edges GROUP BY rel_id) USING (rel_id)"))
+def f02(spark, d):
+    return polygons.region_rings(*B.ring_ways(spark, d)).select("rel_id", "minx", "miny", "maxx", "maxy", F.size(F.col("rings")[0]).cast("long").alias("n"))
+
+
+@query("h08_simplified")
+def h08(spark, d):
+    return polygons.simplified(B.way_nodes(spark, d), B.nodes(spark, d))
+
+
+@query("b01_json")
+def b01(spark, d):
+    return render.as_json(locate(B.texts(spark, d), the_map(spark, d)))
+
+
+@query("b02_xml")
+def b02(spark, d):
+    return render.as_xml(locate(B.texts(spark, d), the_map(spark, d)))
+
+
+@query("b03_html")
+def b03(spark, d):
+    return render.as_html(locate(B.texts(spark, d), the_map(spark, d)))
+
+
+@query("b05_svg")
+def b05(spark, d):
+    return render.as_svg(B.region_rings(spark, d), B.nodes(spark, d))
