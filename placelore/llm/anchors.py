@@ -55,11 +55,12 @@ ROUTED = "key long, kind int, flush long, blob binary"
 
 @dataclass(frozen=True)
 class Windows:
-    """unit: 'bytes' or 'words'; W: symbols in a window; k: symbols in an anchor."""
+    """unit: 'bytes' or 'words'; W: symbols in a window; k: symbols in an anchor; hot: see HOT."""
 
     unit: str
     W: int
     k: int
+    hot: int = HOT
 
     @property
     def w(self) -> int:
@@ -210,27 +211,31 @@ def scan(win: Windows, n: int) -> Callable:
     return go
 
 
-def recur(table: pa.Table) -> pa.Table:
+def recur(win: Windows) -> Callable:
     """In a block: each anchor that two senders have, or that one sender has in several documents, goes back."""
-    kind = table.column("kind").to_numpy()
-    out = [table.filter(pa.array(kind != ANCHOR))]
-    mine = table.filter(pa.array(kind == ANCHOR))
-    if mine.num_rows:
-        blobs = mine.column("blob").to_pylist()
-        h, idx, many = joined(blobs, U, np.uint32, np.uint32)
-        flush = np.repeat(mine.column("flush").to_numpy(), [len(unpack(b, U, np.uint32, np.uint32)[0]) for b in blobs])
-        order = np.argsort(h, kind="stable")
-        h, idx, many, flush = h[order], idx[order], many[order], flush[order]
-        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        docs = np.add.reduceat(many, first, dtype=np.int64)
-        size = np.diff(np.r_[first, len(h)])
-        keep = np.repeat(docs > 1, size)
-        h = h | np.repeat(docs > HOT, size).astype(U)  # the lowest bit says that the anchor is hot
-        if keep.any():
-            back = routed(ANCHOR, 0, flush[keep], h[keep], idx[keep])
-            back = back.set_column(2, "flush", back.column("key"))
-            out.append(pa.Table.from_batches([back]))
-    return pa.concat_tables([t.select(["key", "kind", "flush", "blob"]) for t in out])
+
+    def go(table: pa.Table) -> pa.Table:
+        kind = table.column("kind").to_numpy()
+        out = [table.filter(pa.array(kind != ANCHOR))]
+        mine = table.filter(pa.array(kind == ANCHOR))
+        if mine.num_rows:
+            blobs = mine.column("blob").to_pylist()
+            h, idx, many = joined(blobs, U, np.uint32, np.uint32)
+            flush = np.repeat(mine.column("flush").to_numpy(), [len(unpack(b, U, np.uint32, np.uint32)[0]) for b in blobs])
+            order = np.argsort(h, kind="stable")
+            h, idx, many, flush = h[order], idx[order], many[order], flush[order]
+            first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            docs = np.add.reduceat(many, first, dtype=np.int64)
+            size = np.diff(np.r_[first, len(h)])
+            keep = np.repeat(docs > 1, size)
+            h = h | np.repeat(docs > win.hot, size).astype(U)  # the lowest bit says that the anchor is hot
+            if keep.any():
+                back = routed(ANCHOR, 0, flush[keep], h[keep], idx[keep])
+                back = back.set_column(2, "flush", back.column("key"))
+                out.append(pa.Table.from_batches([back]))
+        return pa.concat_tables([t.select(["key", "kind", "flush", "blob"]) for t in out])
+
+    return go
 
 
 def told(table: pa.Table) -> pa.Table:
@@ -466,7 +471,7 @@ def repeated_spans(docs: DataFrame, win: Windows, match: Callable, finish: Calla
     copies = same.join(least, ["fp", "fq"]).groupBy("did", "fp").agg(F.min(F.col("did") > F.col("least")).alias("copy"))
     z = z.join(copies, ["did", "fp"])
     sent = z.where("NOT copy").mapInArrow(scan(win, n), ROUTED)
-    back = sent.groupBy("key").applyInArrow(recur, ROUTED)
+    back = sent.groupBy("key").applyInArrow(recur(win), ROUTED)
     anchors = back.groupBy("flush").applyInArrow(told, "did long, fp long, anchors binary").groupBy("did", "fp").agg(F.first("anchors").alias("anchors"))
     held = z.where("NOT copy").join(anchors, ["did", "fp"])  # all columns of z, so that one exchange of the texts serves all
     phrases = held.mapInArrow(cut(win, n), ROUTED)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placelore.llm import runindex
-from placelore.llm.anchors import Windows, repeated_spans
+from placelore.llm.anchors import HOT, Windows, repeated_spans
 from placelore.llm.common import read
 
 
@@ -25,7 +25,7 @@ def _finish(window: int):
     return finish
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 18, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 18, hot: int = HOT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Marks the bytes of each text covered by a window-byte string that also starts in a document with a smaller id.
 
     Returns a row for each row of docs: row (its other columns), n_bytes, begins and ends (maximal spans, in bytes), kept
@@ -34,7 +34,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 18, doc_id: st
     A null text is empty. Texts under window bytes have no spans. Rows with one id never remove each other, be they equal
     or not; rows with a null id come after all others. An empty table gives an empty result. Other columns pass in row.
     """
-    return repeated_spans(docs, Windows("bytes", window, gram), runindex.match, _finish(window), "n_bytes long, begins array<long>, ends array<long>, kept binary", doc_id, text)
+    return repeated_spans(docs, Windows("bytes", window, gram, hot), runindex.match, _finish(window), "n_bytes long, begins array<long>, ends array<long>, kept binary", doc_id, text)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placelore.llm import lempelziv
-from placelore.llm.anchors import Windows, repeated_spans
+from placelore.llm.anchors import HOT, Windows, repeated_spans
 from placelore.llm.common import read
 
 
@@ -38,7 +38,7 @@ def _finish(window: int):
     return finish
 
 
-def remove_repeated_passages(docs: DataFrame, window: int = 50, gram: int = 6, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeated_passages(docs: DataFrame, window: int = 50, gram: int = 6, hot: int = HOT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Marks the words of each text covered by window words in a row that also start in a document with a smaller id.
 
     Words are runs of characters other than space and U+0009 to U+000D, unchanged. Returns a row for each row of docs: row
@@ -48,7 +48,7 @@ def remove_repeated_passages(docs: DataFrame, window: int = 50, gram: int = 6, d
     A null text has no words. Texts under window words have no spans. Rows with one id never remove each other, be they
     equal or not; rows with a null id come after all others. An empty table gives an empty result. Other columns pass in row.
     """
-    return repeated_spans(docs, Windows("words", window, gram), lempelziv.match, _finish(window), "n_words long, n_removed long, begins array<long>, ends array<long>, kept string, left_text string", doc_id, text)
+    return repeated_spans(docs, Windows("words", window, gram, hot), lempelziv.match, _finish(window), "n_words long, n_removed long, begins array<long>, ends array<long>, kept string, left_text string", doc_id, text)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,11 +86,10 @@ def brute_spans(docs, split, window=50):
 
 
 @pytest.mark.parametrize("hot", [1000, 3])
-def test_suffix_dedup(docs, hot, monkeypatch):
-    monkeypatch.setattr(anchors, "HOT", hot)
+def test_suffix_dedup(docs, hot):
     want = brute_spans(docs, lambda t: list(t.encode()))
     text = {r["doc_id"]: r["text"] for r in docs.collect() if r["doc_id"] is not None}
-    got = remove_repeats(docs).select("row.doc_id", "row.row", "n_bytes", "begins", "ends", "kept").collect()
+    got = remove_repeats(docs, hot=hot).select("row.doc_id", "row.row", "n_bytes", "begins", "ends", "kept").collect()
     assert len(got) == docs.count()
     seen = 0
     for r in got:
@@ -105,19 +104,18 @@ def test_suffix_dedup(docs, hot, monkeypatch):
     assert seen > 10_000
 
 
-def test_hot_anchors_give_the_same_in_a_worker(monkeypatch):
-    """recur flags anchors above HOT; cut then makes phrases of one window."""
-    monkeypatch.setattr(anchors, "HOT", 1)
+def test_phrases_partition_the_windows():
     win = anchors.Windows("bytes", 50, 18)
     sym = win.hashed(np.frombuffer(random.Random(1).randbytes(400), np.uint8))
     h, first, size, of = win.phrases(sym, np.array([0]), np.array([0]), np.array([400]))
     assert size.sum() == 351 and (np.diff(first) == size[:-1]).all()
 
 
-def test_substring_dedup(docs):
+@pytest.mark.parametrize("hot", [1000, 3])
+def test_substring_dedup(docs, hot):
     want = brute_spans(docs, lambda t: t.encode().split())
     text = {r["doc_id"]: r["text"] for r in docs.collect() if r["doc_id"] is not None}
-    got = remove_repeated_passages(docs).select("row.doc_id", "n_words", "n_removed", "kept", "left_text").collect()
+    got = remove_repeated_passages(docs, hot=hot).select("row.doc_id", "n_words", "n_removed", "kept", "left_text").collect()
     assert len(got) == docs.count()
     for r in got:
         if r["doc_id"] is None:
@@ -383,6 +381,10 @@ def test_mixing_weights(spark, docs, empty):
     assert 2.7 <= n["small"][0] / 41 <= 3.1
     assert abs(n["mid"][0] / 160 - (800 / 160) ** (1 - t)) < 0.15
     assert {s: d for s, (_, d) in n.items()} == {"big": 800, "mid": 160, "small": 40, None: 1}
+    with pytest.MonkeyPatch.context() as patch:  # many sources: salted instead of broadcast
+        patch.setattr("placelore.llm.op10_temperature_mixing.FEW_SOURCES", 1)
+        again = mix(df, limit=3.0, block_tokens=200)
+        assert sorted(map(str, again.collect())) == sorted(map(str, mix(df, limit=3.0, block_tokens=200).collect()))
     shares = spark.createDataFrame([(0.7,), (0.2,), (0.1,)], "share double")
     e = entropy_exponent(shares, 1.0)
     w = np.array([0.7, 0.2, 0.1]) ** e
