@@ -16,6 +16,8 @@ REPETITION = 2.0
 BLOCK_TOKENS, BLOCKS = 1 << 16, 1 << 20
 SEED = "mix"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Sources up to which their table (a short row each) is broadcast; beyond, the hot ones are salted instead.
+FEW_SOURCES, SALTS = 50_000, 64
 #: Inner points that one pass over the totals tries at once; passes.
 POINTS, PASSES = 63, 9
 
@@ -64,6 +66,14 @@ def word_count(text: str):
     return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
 
 
+def with_blocks(rows: DataFrame, blocks: DataFrame, source: str, code: str, sources: int) -> DataFrame:
+    """rows with their source's number of blocks. A hot source never fills one task: rows stay where they are, or are salted."""
+    if sources <= FEW_SOURCES:
+        return rows.join(F.broadcast(blocks), source)
+    salted = blocks.withColumn("mix_salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("mix_salt_", F.pmod(F.col(code), F.lit(SALTS)).cast("int")).join(salted, [source, "mix_salt_"]).drop("mix_salt_")
+
+
 def mix(docs: DataFrame, limit: float = REPETITION, entropy: float | None = None, budget: int | None = None, block_tokens: int = BLOCK_TOKENS, seed: str = SEED, doc_id: str = "doc_id", text: str = "text", source: str = "source", keep: bool = False) -> DataFrame:
     """Schedules documents so that sources come at the weights share ** t / Z.
 
@@ -99,7 +109,7 @@ def mix(docs: DataFrame, limit: float = REPETITION, entropy: float | None = None
     shown = totals.select("s", "tokens", F.when(F.col("tokens") > 0, e).otherwise(F.lit(1.0)).alias("e"), F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.lit(each))).alias("blocks"))
     code = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col(f"`{doc_id}`").cast("string"), F.md5(F.coalesce(F.col(f"`{text}`"), F.lit(""))))), 1, 8), 16, 10).cast("long")
     (at,) = fresh(tagged, "mix_code")
-    dealt = tagged.withColumn(at, code).join(shown.select(F.col("s").alias(s), F.col("blocks").alias("mix_blocks_")), s).withColumn(b, F.pmod(F.col(at), F.col("mix_blocks_"))).drop("mix_blocks_", at)
+    dealt = with_blocks(tagged.withColumn(at, code), shown.select(F.col("s").alias(s), F.col("blocks").alias("mix_blocks_")), s, at, grand["sources"]).withColumn(b, F.pmod(F.col(at), F.col("mix_blocks_"))).drop("mix_blocks_", at)
     block = dealt.groupBy(F.col(s).alias("s"), F.col(b).alias("b")).agg(F.sum(n).alias("n")).join(shown, "s")
     runs = block.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil("e").cast("int") - 1))))
     permuted = Window.partitionBy("s").orderBy("epoch", F.md5(F.concat_ws("|", F.lit(seed), "s", "epoch", "b")), "b")
