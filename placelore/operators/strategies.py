@@ -52,7 +52,8 @@ def crossings(spans: DataFrame, index: DataFrame, way_nodes: DataFrame) -> DataF
     """
     found = lookup.hits(spans, index)
     at = lookup.element_nodes(found, way_nodes, lookup._no_members(way_nodes), sample=False, relations=False)
-    where = found.select("query_id", "begin", "length", "phrase", "elem_type", "elem_id").join(at, ["elem_type", "elem_id"]).select("query_id", "begin", "length", "phrase", "node_id").distinct()
+    where = found.select("query_id", "begin", "length", "phrase", "elem_type", "elem_id").join(at, ["elem_type", "elem_id"]).select("query_id", "begin", "length", "phrase", "node_id")
+    where = where.repartition("query_id", "node_id").distinct()  # one shuffle serves the distinct and both sides of the join
     a, b = where.alias("a"), where.alias("b")
     gap = F.col("b.begin") - (F.col("a.begin") + F.col("a.length"))
     apart = F.call_function("instr", F.col("a.phrase"), F.col("b.phrase")) == 0

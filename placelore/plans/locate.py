@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +33,13 @@ class Map:
         self.name_index = self.name_index if self.name_index is not None else lookup.name_index(self.names)
         self.flat = self.flat if self.flat is not None else lookup.flat_members(self.relation_members)
 
+    def stored(self) -> Map:
+        """The same map with its tables written to the shared scratch folder, for maps that are views of other data.
+
+        A map that was read from a snapshot has no need of it.
+        """
+        return Map(**{f.name: table(getattr(self, f.name), f.name) for f in fields(self)})
+
 
 @dataclass
 class Read:

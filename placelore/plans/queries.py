@@ -347,7 +347,7 @@ def _num(c: str, df: DataFrame) -> DataFrame:
 
 @query("e23_deduped", O.sql("SELECT query_id, strategy, x, y, round(quality, 6) AS quality, origin, elements FROM deduped"))
 def e23(spark, d):
-    return _num("quality", ranking.dedupe(results(B.texts(spark, d), the_map(spark, d))))
+    return _num("quality", ranking.dedupe(results(B.texts(spark, d), the_map(spark, d).stored())))
 
 
 # ---- aggregations, windows, limits ----------------------------------------------------------------------------------
@@ -424,13 +424,13 @@ def g04(spark, d):
 
 @query("g09_ranked", O.sql("SELECT query_id, rank, strategy, x, y, round(quality, 6) AS quality FROM ranked"))
 def g09(spark, d):
-    r = ranking.ranked(ranking.dedupe(results(B.texts(spark, d), the_map(spark, d))))
+    r = ranking.ranked(ranking.dedupe(results(B.texts(spark, d), the_map(spark, d).stored())))
     return _num("quality", r.select("query_id", F.col("rank").cast("long").alias("rank"), "strategy", "x", "y", "quality"))
 
 
 @query("g12_union", O.sql("SELECT strategy, count(*) AS n, round(sum(quality), 3) AS quality FROM results GROUP BY strategy"))
 def g12(spark, d):
-    return results(B.texts(spark, d), the_map(spark, d)).distinct().groupBy("strategy").agg(F.count("*").alias("n"), F.round(F.sum("quality"), 3).alias("quality"))
+    return results(B.texts(spark, d), the_map(spark, d).stored()).distinct().groupBy("strategy").agg(F.count("*").alias("n"), F.round(F.sum("quality"), 3).alias("quality"))
 
 
 @query("g13_shared_nodes", O.sql("SELECT a.way_id AS way_a, b.way_id AS way_b, min(a.node_id) AS node_id FROM way_nodes a JOIN way_nodes b ON a.node_id = b.node_id AND b.way_id = a.way_id + 1 GROUP BY ALL"))
@@ -525,7 +525,7 @@ def h21(spark, d):
 
 @query("locate", O.sql(f"SELECT query_id, rank, strategy, x, y, round({O._lon('x')}, 6) AS lon, round(degrees({O._lat('y')}), 6) AS lat, round(quality, 6) AS quality, coalesce(code, -1) AS scb_code, origin, elements FROM ranked LEFT JOIN coded_min USING (x, y)"))
 def locate_all(spark, d):
-    out = locate(B.texts(spark, d), the_map(spark, d))
+    out = locate(B.texts(spark, d), the_map(spark, d).stored())
     return out.select("query_id", F.col("rank").cast("long").alias("rank"), "strategy", "x", "y", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), F.round("quality", 6).alias("quality"), "scb_code", "origin", "elements")
 
 
@@ -591,17 +591,17 @@ def h08(spark, d):
 
 @query("b01_json")
 def b01(spark, d):
-    return render.as_json(locate(B.texts(spark, d), the_map(spark, d)))
+    return render.as_json(locate(B.texts(spark, d), the_map(spark, d).stored()))
 
 
 @query("b02_xml")
 def b02(spark, d):
-    return render.as_xml(locate(B.texts(spark, d), the_map(spark, d)))
+    return render.as_xml(locate(B.texts(spark, d), the_map(spark, d).stored()))
 
 
 @query("b03_html")
 def b03(spark, d):
-    return render.as_html(locate(B.texts(spark, d), the_map(spark, d)))
+    return render.as_html(locate(B.texts(spark, d), the_map(spark, d).stored()))
 
 
 @query("b05_svg")
