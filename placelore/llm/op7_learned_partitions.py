@@ -2,7 +2,9 @@
 
 A bounded sample gets its exact neighbour graph, and the graph a balanced partition that cuts few edges. A small network
 learns to tell a vector's partition; it then places every vector of the table and routes each query to its most probable
-partitions, where all vectors are compared. Partitions are salted into blocks of bounded size, so a hot one is many tasks.
+partitions, where all vectors are compared. How many those are is read from queries that the fit has not seen, whose exact
+neighbours are found among all vectors: as many as the recall takes, up to all. Partitions stand in groups, which are salted
+into blocks of bounded size, so a hot one is many tasks.
 """
 
 from __future__ import annotations
@@ -18,9 +20,14 @@ from placelore.shipping import ship
 #: Vectors, at most, that the partition and the network are fitted on.
 SAMPLE = 8192
 NEIGHBOURS, HIDDEN, EPOCHS = 10, 64, 12
-#: Vectors, about, of a partition, and partitions at most; vectors and queries of a block.
-EACH, MOST, BLOCK = 2048, 256, 4096
-PROBES = 8
+#: Vectors, about, of a partition, and partitions at most.
+EACH, MOST = 2048, 256
+#: Partitions of a group, which a query visits once; vectors and queries of a block.
+GROUP, VECTORS, QUERIES = 4, 8192, 4096
+#: Partitions of a query, at least, and the share of its true neighbours that they must hold.
+PROBES, RECALL = 8, 0.9
+#: Queries that recall is measured on; with fewer than LEAST, all partitions are searched. Standard errors it must be above.
+TRIALS, LEAST, ERRORS = 512, 32, 2.0
 K = 20
 
 
@@ -156,10 +163,51 @@ def _unique(q_id, q, v_id, v, k):
     return np.full(len(best), q_id), v_id[best], s[best]
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = K, probes: int = PROBES, sample: int = SAMPLE, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def best_of(q, v_id, score, k: int, *more) -> tuple[np.ndarray, ...]:
+    """Of the rows of each q the k best, ties to the smaller id, each id once."""
+    order = np.lexsort((-score, v_id, q))
+    order = order[np.r_[True, (np.diff(q[order]) != 0) | (np.diff(v_id[order]) != 0)][: len(order)]]
+    order = order[np.lexsort((v_id[order], -score[order], q[order]))]
+    _, first, count = np.unique(q[order], return_index=True, return_counts=True)
+    order = order[np.arange(len(order)) - np.repeat(first, count) < k]
+    return tuple(c[order] for c in (q, v_id, score, *more))
+
+
+def rough_nearest(q_id, q, v_id, v, at, k: int) -> tuple[np.ndarray, ...]:
+    """(place of the query, id, score, partition): the k best of v for each of q but its own id, by scores of one product."""
+    k += len(v_id) - len(np.unique(v_id))  # repeated rows of one id may not crowd out others
+    n = min(k + 1, len(v_id))
+    out = []
+    for i in range(0, len(q), 128):
+        s = q[i : i + 128] @ v.T
+        s[q_id[i : i + 128, None] == v_id[None, :]] = -np.inf
+        c = np.argpartition(s, len(v_id) - n, axis=1)[:, len(v_id) - n :]
+        s, row = np.take_along_axis(s, c, 1), np.repeat(np.arange(i, i + len(s)), n)
+        real = np.isfinite(s.ravel())
+        out.append((row[real], v_id[c.ravel()][real], s.ravel()[real], at[c.ravel()][real]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def fewest(query: np.ndarray, turn: np.ndarray, parts: int, least: int, recall: float) -> int:
+    """The smallest number of partitions, from least on, that reaches the recall for sure; else all.
+
+    A row for each true neighbour: its query, and how many partitions of that query's order come before its own.
+    """
+    _, of = np.unique(query, return_inverse=True)
+    if not len(of) or of.max() + 1 < LEAST:
+        return parts
+    held = np.zeros((of.max() + 1, parts))
+    np.add.at(held, (of, turn), 1)
+    held = held.cumsum(1) / held.sum(1, keepdims=True)
+    sure = held.mean(0) - ERRORS * held.std(0, ddof=1) / np.sqrt(len(held)) >= recall
+    return int(next((p for p in range(least, parts) if sure[p - 1]), parts))
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = K, probes: int = PROBES, sample: int = SAMPLE, vec_id: str = "vec_id", embedding: str = "embedding", recall: float = RECALL) -> DataFrame:
     """For each query its k nearest vectors by inner product among the partitions it is routed to, but its own id.
 
-    Returns query_id, rank, vec_id, score. Every vector is placed in a partition; only the fit uses a sample.
+    Returns query_id, rank, vec_id, score. Every vector is placed in a partition; only the fit uses a sample. A query goes to
+    probes partitions, or to so many more that queries held out of the fit find the given share of their true neighbours.
 
     Vectors that are null, zero or hold a null or non-finite component take no part, nor do rows without an id. Repeated rows
     of one id count once. Ties go to the smaller id. An empty table gives an empty result. Other columns are not looked at.
@@ -175,7 +223,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, probes: int = PRO
 
     rows, asked = valid(vectors), valid(queries).dropDuplicates(["vec_id"])
     total = rows.count()
-    some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
+    h = F.xxhash64("vec_id")
+    some = rows.withColumn("h", h).orderBy("h", "vec_id").limit(sample).collect()
     empty = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not some:
         return empty
@@ -183,39 +232,71 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, probes: int = PRO
     parts = int(max(1, min(MOST, total // EACH, len(x) // 32)))
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     router = Router(unit, balanced_partition(unit, neighbour_graph(unit, NEIGHBOURS), parts), parts)
-    probes = min(probes, parts)
+    towards = lambda v: router.logits(v / np.linalg.norm(v, axis=1, keepdims=True))
 
     def place(batches):
         for batch in batches:
             if batch.num_rows:
-                v = matrix(batch.column("v"))
-                at = router.logits(v / np.linalg.norm(v, axis=1, keepdims=True)).argmax(1)
+                at = towards(matrix(batch.column("v"))).argmax(1)
                 yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(at, pa.int32())], ["vec_id", "v", "part"])
 
+    placed = rows.mapInArrow(place, "vec_id long, v array<double>, part int")
+    if parts > probes:
+        held = asked.where(h > some[-1]["h"]) if len(some) == sample else asked.limit(0)
+        trial = held.orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(TRIALS).collect()
+        t_id, t = np.array([r["vec_id"] for r in trial], np.int64), np.array([r["v"] for r in trial])
+
+        def truth(batches):
+            best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+            for batch in batches:
+                if batch.num_rows:
+                    got = rough_nearest(t_id, t, batch.column("vec_id").to_numpy(), matrix(batch.column("v")), batch.column("part").to_numpy(), k)
+                    q, v, score, part = (np.concatenate(c) for c in zip(best, got, strict=True))
+                    best = best_of(q, v, score, k, part)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in best], ["query", "vec_id", "score", "part"])
+
+        least, probes = probes, parts
+        if len(trial) >= LEAST:
+            single = placed.mapInArrow(truth, "query long, vec_id long, score double, part long").groupBy("query", "vec_id").agg(F.max_by("part", "score").alias("part"), F.max("score").alias("score"))
+            nearer = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+            true = single.withColumn("nth", F.row_number().over(nearer)).where(F.col("nth") <= k).select("query", "part").collect()
+            query, part = np.array([r["query"] for r in true], np.int64), np.array([r["part"] for r in true], np.int64)
+            turn = np.argsort(np.argsort(-towards(t), axis=1), axis=1)
+            probes = fewest(query, turn[query, part], parts, least, recall)
+    probes = min(probes, parts)
+
     def route(batches):
         for batch in batches:
             if batch.num_rows:
                 v = matrix(batch.column("v"))
-                best = np.argsort(-router.logits(v / np.linalg.norm(v, axis=1, keepdims=True)), axis=1)[:, :probes]
-                take = pa.array(np.repeat(np.arange(len(v)), probes))
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(take), batch.column("v").take(take), pa.array(best.ravel(), pa.int32())], ["vec_id", "v", "part"])
-
-    placed = rows.mapInArrow(place, "vec_id long, v array<double>, part int")
-    routed = asked.mapInArrow(route, "vec_id long, v array<double>, part int")
-    salts = {r["part"]: -(-r["count"] // BLOCK) for r in placed.groupBy("part").count().collect()}  # a row for each partition
-    chunks = {r["part"]: -(-r["count"] // BLOCK) for r in routed.groupBy("part").count().collect()}
-    of = lambda m: F.element_at(F.array(*(F.lit(max(1, m.get(p, 1))) for p in range(parts))), F.col("part") + 1)
-    h = F.xxhash64("vec_id")
+                best = np.sort(np.argsort(-towards(v), axis=1)[:, :probes], axis=1)
+                new = np.c_[np.full(len(v), True), best[:, 1:] // GROUP != best[:, :-1] // GROUP].ravel()  # a row for each group
+                take = pa.array(np.repeat(np.arange(len(v)), probes)[new])
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[np.flatnonzero(new), best.size], pa.int32()), pa.array(best.ravel(), pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(take), batch.column("v").take(take), lists, pa.array(best.ravel()[new] // GROUP, pa.int32())], ["vec_id", "v", "probed", "grp"])
+
+    placed = placed.withColumn("grp", F.floor(F.col("part") / GROUP).cast("int"))
+    routed = asked.mapInArrow(route, "vec_id long, v array<double>, probed array<int>, grp int")
+    salts = {r["grp"]: -(-r["count"] // VECTORS) for r in placed.groupBy("grp").count().collect()}  # a row for each group
+    chunks = {r["grp"]: -(-r["count"] // QUERIES) for r in routed.groupBy("grp").count().collect()}
+    of = lambda m: F.element_at(F.array(*(F.lit(max(1, m.get(g, 1))) for g in range(-(-parts // GROUP)))), F.col("grp") + 1)
     left = routed.withColumn("chunk", F.pmod(h, of(chunks)).cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0), of(salts) - 1)))
     right = placed.withColumn("salt", F.pmod(h, of(salts)).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), of(chunks) - 1)))
 
     def compare(a: pa.Table, b: pa.Table) -> pa.Table:
-        got = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        got = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if a.num_rows and b.num_rows:
-            got = nearest(a.column("vec_id").to_numpy(), matrix(a.column("v").combine_chunks()), b.column("vec_id").to_numpy(), matrix(b.column("v").combine_chunks()), k)
+            q_id, q, v_id, v, at = a.column("vec_id").to_numpy(), matrix(a.column("v").combine_chunks()), b.column("vec_id").to_numpy(), matrix(b.column("v").combine_chunks()), b.column("part").to_numpy()
+            probed = a.column("probed").combine_chunks()
+            row, part = probed.value_parent_indices().to_numpy(), probed.flatten().to_numpy()
+            for p in np.unique(at):
+                some = row[part == p]
+                if len(some):
+                    got.append(nearest(q_id[some], q[some], v_id[at == p], v[at == p], k))
+        got = best_of(*(np.concatenate(c) for c in zip(*got, strict=True)), k)
         return pa.table({"query_id": pa.array(got[0], pa.int64()), "vec_id": pa.array(got[1], pa.int64()), "score": pa.array(got[2], pa.float64())})
 
-    keys = ["part", "salt", "chunk"]
+    keys = ["grp", "salt", "chunk"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "query_id long, vec_id long, score double")
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
