@@ -6,6 +6,7 @@ scanned where it is read, so no key can be hot.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
 
 import numpy as np
@@ -71,22 +72,15 @@ class Index:
                 self.posts[int(key)].append((i, int(place)))
         self.keys = np.sort(np.array(list(self.posts), U))
 
-    def candidates(self, sym: np.ndarray, band: int) -> list[tuple[int, int]]:
-        """(template, diagonal) of regions of a text that share a winnowed fingerprint with a template."""
+    def candidates(self, sym: np.ndarray) -> list[tuple[int, list[int]]]:
+        """(template, its diagonals in order) on which a text shares a winnowed fingerprint with the template."""
         place, key = winnow(sym, self.gram, 1)  # of the text every gram: a run of gram + window - 1 words can't be missed
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        seen: dict[int, list[int]] = defaultdict(list)
+        seen: dict[int, set[int]] = defaultdict(set)
         for p, k in zip(place[self.keys[at] == key].tolist(), key[self.keys[at] == key].tolist(), strict=True):
             for t, q in self.posts[k]:
-                seen[t].append(p - q)
-        out = []
-        for t, diagonals in seen.items():
-            last = None
-            for d in sorted(diagonals):
-                if last is None or d - last > band:  # nearer ones are inside that band
-                    out.append((t, d))
-                    last = d
-        return out
+                seen[t].add(p - q)
+        return [(t, sorted(diagonals)) for t, diagonals in seen.items()]
 
 
 def align(template: list, words: list, diagonal: int, band: int) -> tuple[int, int, int, int]:
@@ -125,16 +119,36 @@ def align(template: list, words: list, diagonal: int, band: int) -> tuple[int, i
 def matches(text: bytes, sym: np.ndarray, start: np.ndarray, end: np.ndarray, index: Index, coverage: float, band: int) -> list[tuple]:
     """(template, matched, coverage, begin, end) of a text, in bytes; of overlapping spans of one template the best stays."""
     found = []
-    for t, diagonal in index.candidates(sym, band):
-        low = max(0, diagonal - band)
-        high = min(len(sym), diagonal + len(index.words[t]) + band)
-        score, matched, a, b = align(index.words[t], sym[low:high].tolist(), diagonal - low, band)
-        share = matched / len(index.words[t])
-        if share >= coverage:
-            found.append((-score, low + a, low + b, t, matched, share))
+    for t, diagonals in index.candidates(sym):
+        words = index.words[t]
+        n, same = len(words), [d for d in diagonals if d >= 0 and sym[d : d + len(words)].tolist() == words]
+        taken: list[int] = []
+        for d in same:  # nothing beats a whole copy
+            if not taken or d >= taken[-1] + n:
+                taken.append(d)
+                found.append((-MATCH * n, d, d + n, t, n, 1.0))
+        for diagonal in sorted({*diagonals}.difference(same)):
+            low, high = max(0, diagonal - band), min(len(sym), diagonal + n + band)
+            free = []
+            for d in taken[bisect_left(taken, low - n + 1) : bisect_left(taken, high)]:
+                free.append((low, d))
+                low = d + n
+            free.append((low, high))
+            while free:  # a short notice may stand several times within the band
+                low, high = free.pop()
+                if high - low < coverage * n - 1e-9:
+                    continue
+                score, matched, a, b = align(words, sym[low:high].tolist(), diagonal - low, band)
+                if score:
+                    if matched / n >= coverage:
+                        found.append((-score, low + a, low + b, t, matched, matched / n))
+                    free += [(low, low + a), (low + b, high)]
     out: list[tuple] = []
-    for _, a, b, t, matched, share in sorted(found):
-        if all(o[0] != t or b <= o[5] or a >= o[6] for o in out):
+    spans: dict[int, list[tuple[int, int]]] = defaultdict(list)  # of each template, in order
+    for _, a, b, t, matched, share in sorted(set(found)):
+        at = bisect_left(spans[t], (a, b))
+        if (at == 0 or spans[t][at - 1][1] <= a) and (at == len(spans[t]) or spans[t][at][0] >= b):
+            spans[t].insert(at, (a, b))
             out.append((t, matched, share, int(start[a]), int(end[b - 1]), a, b))
     return [o[:5] for o in sorted(out, key=lambda o: (o[3], o[0]))]
 

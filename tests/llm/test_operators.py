@@ -445,3 +445,21 @@ def test_nearest_neighbours_recall_with_many_partitions(spark, monkeypatch):
         s = x @ x[q]
         s[q] = -np.inf
         assert [r["vec_id"] for r in sorted(few, key=lambda r: r["rank"]) if r["query_id"] == q] == np.argsort(-s)[:20].tolist()
+
+
+def test_license_notices_back_to_back(spark):
+    """Each of several short notices that stand closer together than the band, whole or without a word."""
+    name = dict(TEMPLATES)
+    mit, apache, cc = name["mit"], name["apache-2.0"], name["cc-by-nc-4.0"]
+    less = "Licensed under the Apache License, Version 2."
+    said = {
+        1: ("mit", [mit] * 2), 2: ("mit", [mit] * 40), 3: ("cc-by-nc-4.0", [cc] * 4), 4: ("apache-2.0", [apache] * 3),
+        5: ("apache-2.0", [apache, less, less, apache]), 6: ("mit", ["Released under the MIT.", mit, mit, "Under the MIT License."]),
+        7: ("mit", ["released under the GPL.", "released under the MIT.", "released under the MIT."]),
+    }
+    df = spark.createDataFrame([(i, "\n".join(lines)) for i, (_, lines) in said.items()], "doc_id long, text string")
+    got = defaultdict(list)
+    for r in scan(df).orderBy("doc_id", "begin").collect():
+        got[r["doc_id"], r["template"]].append(r["found"])
+    for i, (template, lines) in said.items():
+        assert got[i, template] == [x.removesuffix(".") for x in lines if "GPL" not in x]
