@@ -23,11 +23,22 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the smallest id stays; of repeated rows one does."""
-    first = classes(docs, links=False).where("node = class_id").select("node")
+    """Of each class of near copies the document with the smallest id stays; of repeated rows one does.
+
+    Different texts under one id are documents of their own, in the order of their fingerprints.
+    """
     tagged = docs.withColumn("node", node_id("doc_id", "text"))
+    repeated = not tagged.groupBy("node").count().where("count > 1").isEmpty()
+    keyed = docs
+    if repeated:
+        tagged = tagged.withColumn("fp", F.xxhash64(F.coalesce("text", F.lit(""))))
+        places = tagged.select("node", "fp").distinct().orderBy("node", "fp").rdd.zipWithIndex().map(lambda r: (*r[0], r[1]))
+        numbered = spark.createDataFrame(places, "node long, fp long, place long")
+        tagged = table(tagged.join(numbered, ["node", "fp"]).withColumn("node", F.col("place")).drop("fp", "place"), "numbered")
+        keyed = tagged.select(F.col("node").alias("doc_id"), "text")
+    first = classes(keyed, links=False).where("node = class_id").select("node")
     kept = tagged.join(first, "node", "left_semi")
-    if not docs.select(node_id("doc_id", "text").alias("node")).groupBy("node").count().where("count > 1").isEmpty():
+    if repeated:
         kept = kept.dropDuplicates(["node"])
     return kept.select(*docs.columns)
 

@@ -463,3 +463,16 @@ def test_license_notices_back_to_back(spark):
         got[r["doc_id"], r["template"]].append(r["found"])
     for i, (template, lines) in said.items():
         assert got[i, template] == [x.removesuffix(".") for x in lines if "GPL" not in x]
+
+
+def test_near_duplicates_of_texts_that_share_an_id(spark):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    a, b, c, d, e = (" ".join(words(rng, 80)) for _ in range(5))
+    rows = [(1, a), (5, b), (5, c), (5, c), (7, a), (7, d), (9, b), (None, e), (None, e), (None, d)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    key = lambda r: (r[0] or 0, r[1])
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=key) == sorted([(1, a), (5, b), (5, c), (7, d), (None, e)], key=key)
