@@ -115,9 +115,10 @@ def local_matches(hits: DataFrame, centre: DataFrame, places: DataFrame, names:
     at = local.join(centre, ["elem_type", "elem_id"])
     g = places.join(centre.select("elem_type", "elem_id", F.col("x").alias("gx"), F.col("y").alias("gy")), ["elem_type", "elem_id"])
     g = g.select("query_id", F.col("elem_type").alias("g_type"), F.col("elem_id").alias("g_id"), F.col("rwt").alias("g_rwt"), "gx", "gy")
-    # a box of LOCAL_METRES on the grid, with room for its error in the north, comes before the trigonometry
-    reach = P.LOCAL_METRES * 13
-    near = at.join(g, "query_id").where((F.abs(F.col("x") - F.col("gx")) <= reach) & (F.abs(F.col("y") - F.col("gy")) <= reach))
+    # a box of LOCAL_METRES on the grid, with room for its error, comes before the great circle; degrees east shrink northwards
+    reach, shrunk = P.LOCAL_METRES * 1.02, F.cos(F.radians(geo.decode_lat(F.greatest("y", "gy"))))
+    box = (F.abs(F.col("y") - F.col("gy")) * 60 * P.MILE <= reach * P.LAT_SCALE) & (F.abs(F.col("x") - F.col("gx")) * shrunk * 60 * P.MILE <= reach * P.LON_SCALE)
+    near = at.join(g, "query_id").where(box)
     d = geo.distance_lat_lon(F.col("x"), F.col("y"), F.col("gx"), F.col("gy"))
     best = near.withColumn("metres", d).where(F.col("metres") <= P.LOCAL_METRES).groupBy("query_id", "phrase", "elem_type", "elem_id", "x", "y").agg(F.min(F.struct("metres", "g_type", "g_id", "g_rwt")).alias("m"))
     flat = best.select("query_id", "phrase", "elem_type", "elem_id", "x", "y", "m.metres", "m.g_type", "m.g_id", "m.g_rwt")

@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
+from placelore import params as P
 from placelore.functions import geo, roads, scoring, text
-from placelore.operators import lookup
+from placelore.operators import lookup, strategies
 
 
 def one(spark, expression, **values):
@@ -117,3 +120,15 @@ def test_nested_relations_with_a_cycle(spark):
     m = spark.createDataFrame([(1, 1, 3, 2, 0), (2, 1, 3, 1, 0), (2, 2, 1, 7, 0), (1, 2, 2, 9, 0)], "rel_id long, pos int, member_type int, member_id long, role_flags int")
     got = {tuple(r) for r in lookup.flat_members(m).collect()}
     assert got == {(1, 1, 7), (1, 2, 9), (2, 1, 7), (2, 2, 9)}
+
+
+def test_local_matches_in_the_far_north(spark):
+    """East-west pairs within the limit by great circle match at every latitude, those beyond it do not."""
+    names = spark.createDataFrame([], "elem_type int, elem_id long, name string")
+    rows = [(i, lat, 25.0, km / (60 * P.MILE * math.cos(math.radians(lat)))) for i, (lat, km) in enumerate((lat, km) for lat in (58.0, 67.9, 69.1, 71.4) for km in (19_900, 20_100))]
+    at = spark.createDataFrame([(1, k * 100 + i, lat, lon + k * d) for i, lat, lon, d in rows for k in (0, 1)], "elem_type int, elem_id long, lat double, lon double")
+    centre = at.select("elem_type", "elem_id", geo.encode_x(F.col("lon")).alias("x"), geo.encode_y(F.col("lat")).alias("y"))
+    hits = spark.createDataFrame([(i, "by", 1, 100 + i) for i, *_ in rows], "query_id int, phrase string, elem_type int, elem_id long")
+    places = spark.createDataFrame([(i, 1, i, 100) for i, *_ in rows], "query_id int, elem_type int, elem_id long, rwt int")
+    got = {r["query_id"] for r in strategies.local_matches(hits, centre, places, names).collect()}
+    assert got == {0, 2, 4, 6}
