@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from placelore.functions import geo
 from placelore.functions.text import admin_name, code_key, index_phrases, normalise, tokens
 from placelore.schema import NODE, REGIONAL, RELATION, WAY
+from placelore.scratch import table
 
 DEPTH = 8
 
@@ -38,18 +39,17 @@ def best_names(elements: DataFrame, names: DataFrame) -> DataFrame:
     return elements.join(names.select("elem_type", "elem_id", "name"), ["elem_type", "elem_id"], "left")
 
 
-def flat_members(members: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(rel_id, member_type, member_id): nodes and ways of a relation, through nested relations. Cycles end at depth."""
+def flat_members(members: DataFrame) -> DataFrame:
+    """(rel_id, member_type, member_id): nodes and ways of a relation, through nested relations of any depth. Cycles end too."""
     step = members.select("rel_id", "member_type", "member_id")
     nested = members.where(F.col("member_type") == RELATION).select(F.col("rel_id").alias("parent"), F.col("member_id").alias("child")).distinct()
-    out, front = step, step.where(F.col("member_type") == RELATION).select("rel_id", F.col("member_id").alias("at")).distinct()
-    for _ in range(depth):
-        found = front.join(step.withColumnRenamed("rel_id", "at"), "at").select("rel_id", "member_type", "member_id")
-        out = out.union(found)
-        front = front.join(nested, front["at"] == nested["parent"]).select("rel_id", F.col("child").alias("at")).distinct()
-        if front.isEmpty():
-            break
-    return out.where(F.col("member_type") != RELATION).distinct()
+    front = held = table(nested.select(F.col("parent").alias("rel_id"), F.col("child").alias("at")), "nested")
+    while not front.isEmpty():  # until a round reaches no relation that was not reached before
+        further = front.join(nested, front["at"] == nested["parent"]).select("rel_id", F.col("child").alias("at")).distinct()
+        front = table(further.join(held, ["rel_id", "at"], "left_anti"), "nested")
+        held = held.union(front)
+    found = held.join(step.withColumnRenamed("rel_id", "at"), "at").select("rel_id", "member_type", "member_id")
+    return step.union(found).where(F.col("member_type") != RELATION).distinct()
 
 
 def sampled(way_nodes: DataFrame) -> DataFrame:

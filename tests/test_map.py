@@ -153,3 +153,11 @@ def test_representative_and_counter(the_map):
     got = {r["elem_id"]: r["node_id"] for r in lookup.representative(e, the_map.way_nodes, the_map.relation_members, depth=1).collect()}
     assert got[110] == 21 and got[100] == 6
     assert {r["node_id"]: r["uses"] for r in lookup.counter(the_map.way_nodes).collect()}[5] == 2
+
+
+def test_members_of_deeply_nested_relations(spark):
+    """A chain of 12 relations whose last one leads back to the third; each holds a node of its own."""
+    rows = [(i, 0, 3, i % 12 + 1 if i < 12 else 3, 0) for i in range(1, 13)] + [(i, 1, 1, 100 + i, 0) for i in range(1, 13)]
+    m = spark.createDataFrame(rows, "rel_id long, pos int, member_type int, member_id long, role_flags int")
+    got = {tuple(r) for r in lookup.flat_members(m).collect()}
+    assert got == {(i, 1, 100 + j) for i in range(1, 13) for j in range(min(i, 3), 13)}
