@@ -15,9 +15,11 @@ of a document partition its windows. Hence a window can only repeat in phrases o
 5. ``gather``   spans meet per document and are joined to the texts.
 
 Anchors with more than HOT document rows are cut into phrases of a single window, keyed by the window itself, so that many
-different contexts of one passage never meet in one task. Blocks grow in number with the input, not in size.
+different contexts of one passage never meet in one task: all of them in one index would be a task without bound. Such
+windows are equal or not as a whole, so the dictionary decides them. Blocks grow in number with the input, not in size.
 
-Equality of phrases is decided on 128 bits of hash (64 of the anchor's k-gram, 64 of the whole phrase) and their length.
+Equality of phrases is decided on 128 bits of hash (64 of the anchor's k-gram, or of the window if the anchor is hot, and 64
+of the whole phrase with other symbol hashes) and their length. Words are told apart by 64 bits of hash.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from placelore.llm.arrays import BYTE, U, groups, mix, prefix, span, split_words
+from placelore.llm.arrays import BYTE, BYTE2, U, groups, mix, prefix, span, split_words
 from placelore.llm.common import buckets, doc_key
 from placelore.shipping import ship
 
@@ -87,6 +89,10 @@ class Windows:
     def hashed(self, sym: np.ndarray) -> np.ndarray:
         return BYTE[sym] if self.unit == "bytes" else sym
 
+    def second(self, sym: np.ndarray) -> np.ndarray:
+        """Hashes of the symbols, as far as can be independent of those of hashed()."""
+        return BYTE2[sym] if self.unit == "bytes" else mix(sym ^ U(0x3C6EF372FE94F82B))
+
     def phrases(self, sym: np.ndarray, docs: np.ndarray, base: np.ndarray, lens: np.ndarray):
         """Anchor, first window (index into sym), number of windows and stretch of each phrase."""
         n, none = len(sym), np.zeros(0, np.int64)
@@ -307,13 +313,14 @@ def cut(win: Windows, n: int) -> Callable:
                 h, first, size, of = h[keep], first[keep], size[keep], of[keep]
                 if not len(h):
                     continue
+                raw = sym if win.unit == "words" else np.frombuffer(b"".join(texts[docs[0] : docs[-1] + 1]), np.uint8)[base[0] : base[0] + len(sym)]
                 pre = prefix(sym)
                 alone = ranges(first[hot], size[hot])
                 of = np.concatenate([of[~hot], np.repeat(of[hot], size[hot])])
                 h = np.concatenate([h[~hot], mix(span(pre, alone, alone + win.W)) & ~U(1)])
                 first = np.concatenate([first[~hot], alone])
                 size = np.concatenate([size[~hot], np.ones(len(alone), np.int64)])
-                text = mix(span(pre, first, first + size + win.W - 1))
+                text = mix(span(prefix(win.second(raw)), first, first + size + win.W - 1))
                 doc = docs[of]
                 start = first - (np.cumsum(lens) - lens)[of] + base[of]
                 order = np.lexsort((did[doc], text, size, h))
@@ -328,7 +335,6 @@ def cut(win: Windows, n: int) -> Callable:
                 key = bucket_of(h[e], n)
                 order = np.argsort(key, kind="stable")
                 h, first, size, doc, start, key = h[e][order], first[e][order], size[e][order], doc[e][order], start[e][order], key[order]
-                raw = sym if win.unit == "words" else np.frombuffer(b"".join(texts[docs[0] : docs[-1] + 1]), np.uint8)[base[0] : base[0] + len(sym)]
                 many = size + win.W - 1
                 all_sym, ends = raw[ranges(first, many)], np.cumsum(many)
                 edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -354,8 +360,7 @@ def mark(win: Windows, n: int, match: Callable) -> Callable:
             size = size.astype(np.int64)
             many = size + win.W - 1
             off = np.cumsum(many) - many
-            sym = win.hashed(raw)
-            text = mix(span(prefix(sym), off, off + many))
+            text = mix(span(prefix(win.second(raw)), off, off + many))
             order = np.lexsort((did, text, size, h))
             h, size, did, fp, start, off, text = (x[order] for x in (h, size, did, fp, start, off, text))
             new = np.r_[True, (h[1:] != h[:-1]) | (size[1:] != size[:-1]) | (text[1:] != text[:-1])]
@@ -470,7 +475,8 @@ def repeated_spans(docs: DataFrame, win: Windows, match: Callable, finish: Calla
     least = same.groupBy("fp", "fq").agg(F.min("did").alias("least"))
     copies = same.join(least, ["fp", "fq"]).groupBy("did", "fp").agg(F.min(F.col("did") > F.col("least")).alias("copy"))
     z = z.join(copies, ["did", "fp"])
-    sent = z.where("NOT copy").mapInArrow(scan(win, n), ROUTED)
+    ordered = z.where("NOT copy").sortWithinPartitions("did", "fp")  # places in a flush are the same if a lost task runs again
+    sent = ordered.mapInArrow(scan(win, n), ROUTED)
     back = sent.groupBy("key").applyInArrow(recur(win), ROUTED)
     anchors = back.groupBy("flush").applyInArrow(told, "did long, fp long, anchors binary").groupBy("did", "fp").agg(F.first("anchors").alias("anchors"))
     held = z.where("NOT copy").join(anchors, ["did", "fp"])  # all columns of z, so that one exchange of the texts serves all

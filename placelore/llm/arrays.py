@@ -22,6 +22,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 BYTE = mix(np.arange(1, 257, dtype=U) * U(BASE))
+BYTE2 = mix(BYTE ^ U(0x3C6EF372FE94F82B))
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
