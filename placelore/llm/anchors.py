@@ -387,15 +387,13 @@ def mark(win: Windows, n: int, match: Callable) -> Callable:
 def earlier(win: Windows, match: Callable, raw, h, did, off, size) -> np.ndarray:
     """For each window of the distinct phrases: does a phrase of a smaller document hold it?
 
-    Anchors with a single phrase are passed over. The others are worked in parts of about PART symbols, an anchor whole.
+    Phrases that ``related`` finds alone are passed over. The others are worked in parts of about PART symbols, an anchor whole.
     """
     hit = np.zeros(size.sum(), bool)
     order = np.lexsort((did, h))
     place = (np.cumsum(size) - size)[order]
     h, did, off, size = h[order], did[order], off[order], size[order]
-    new = np.r_[True, h[1:] != h[:-1]]
-    many = np.diff(np.r_[np.flatnonzero(new), len(h)])
-    several = np.repeat(many > 1, many)
+    several = related(win, raw, h, did, off, size)
     place, h, did, off, size = (x[several] for x in (place, h, did, off, size))
     if not len(h):
         return hit
@@ -407,6 +405,36 @@ def earlier(win: Windows, match: Callable, raw, h, did, off, size) -> np.ndarray
     return hit
 
 
+def related(win: Windows, raw, h, did, off, size) -> np.ndarray:
+    """The phrases that may share a window with a phrase of another document.
+
+    A window holds its anchor's k-gram, with l symbols before it and W - k - l behind. For one of four c it so holds the gram
+    with c quarters of W - k before it and 3 - c behind. A phrase none of whose four extended grams stands in another
+    document's phrase of that anchor, at any place of the gram, shares no window.
+    """
+    q, many = (win.W - win.k) // 4, size + win.W - 1
+    begin = np.cumsum(many) - many
+    sym = win.hashed(raw[ranges(off, many)])
+    pre = prefix(sym)
+    phrase = np.repeat(np.arange(len(size)), many)[: max(0, len(sym) - win.k + 1)]
+    at = np.arange(len(phrase))
+    at = at[(mix(span(pre, at, at + win.k)) & ~U(1)) == h[phrase] & ~U(1)]
+    at = at[at + win.k <= (begin + many)[phrase[at]]]
+    phrase = phrase[at]
+    out = np.zeros(len(size), bool)
+    for c in range(4):
+        a, b = at - c * q, at + win.k + (3 - c) * q
+        real = (a >= begin[phrase]) & (b <= (begin + many)[phrase])
+        of, a, b = phrase[real], a[real], b[real]
+        key = mix(span(pre, a, b) ^ mix(h[of]))
+        order = np.lexsort((did[of], key))
+        key, of = key[order], of[order]
+        new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+        many_of = np.diff(np.r_[new, len(key)])
+        out[of[np.repeat(did[of[new]] < did[of[new + many_of - 1]], many_of)]] = True
+    return out
+
+
 def streamed(win: Windows, match: Callable, raw, h, did, off, size) -> tuple[np.ndarray, np.ndarray]:
     """(phrases, for each of their windows: is it found?). A phrase may come several times.
 
