@@ -2,13 +2,17 @@
 
 Documents become pieces of at most ``room`` tokens. Only the histogram of piece lengths (``room`` numbers, whatever the
 corpus) reaches the driver. There, gaps are closed exactly: an index of single lengths, pair sums and triple sums names
-combinations that fill what a piece leaves free, and they are consumed as often as their counts allow. Best fit places the
-rest. The plan is a short list of patterns with counts; every piece finds its place from its rank among pieces of its length.
+combinations that fill what a piece leaves free, and they are consumed as often as their counts allow: single complements of
+all lengths, then pairs, then triples. Best fit places the rest. Where fewer kinds of complements need fewer sequences, that
+plan is taken. The plan is a short list of patterns with counts; every piece finds its place from its rank among pieces of
+its length.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -67,67 +71,82 @@ def cut(n: int, room: int) -> np.ndarray:
     return np.array([n % room] * (n % room > 0) + [room] * (n // room), np.int64)
 
 
+class SumIndex:
+    """The sums of one, two and three lengths, for the lengths that occur; left: how many pieces of each length there are.
+
+    A pair stands under its sum, most even pairs first; a triple's sum is a length and the sum of a pair no longer than it.
+    """
+
+    def __init__(self, left: np.ndarray):
+        lengths = np.flatnonzero(left)
+        a, b = (x.ravel() for x in np.meshgrid(lengths, lengths, indexing="ij"))
+        fits = np.flatnonzero((a >= b) & (a + b < len(left)))
+        fits = fits[np.lexsort((a[fits], a[fits] + b[fits]))]
+        self.left, self.big, self.small = left, a[fits], b[fits]
+        self.begin = np.searchsorted(self.big + self.small, np.arange(len(left) + 1))
+
+    def singles(self, total: int, most: int):
+        """Lengths no longer than most that are the sum themselves."""
+        if total <= most and self.left[total]:
+            yield (total,)
+
+    def pairs(self, total: int, most: int):
+        i, j = self.begin[total], self.begin[total + 1]
+        j = i + np.searchsorted(self.big[i:j], most, side="right")
+        some = np.flatnonzero((self.left[self.big[i:j]] > 0) & (self.left[self.small[i:j]] > 0)) + i
+        yield from zip(self.big[some].tolist(), self.small[some].tolist(), strict=True)
+
+    def triples(self, total: int, most: int):
+        least = -(-total // 3)
+        for a in (np.flatnonzero(self.left[least : max(least, min(most, total - 2) + 1)]) + least).tolist():
+            for pair in self.pairs(total - a, a):
+                yield (a, *pair)
+
+
 class Plan:
-    """Patterns of lengths with counts, for count[length] pieces of each length."""
+    """Patterns of lengths with counts, for count[length] pieces of each length.
+
+    sums: exact complements of so many lengths are consumed before best fit, at most.
+    """
 
-    def __init__(self, count: np.ndarray, room: int = ROOM):
+    def __init__(self, count: np.ndarray, room: int = ROOM, sums: int = 3):
         self.room, self.left = room, count.astype(np.int64).copy()
         self.patterns: list[tuple[tuple[int, ...], int]] = []
-        self._exact()
+        self._take([room])
+        index = SumIndex(self.left)
+        for combinations in (index.singles, index.pairs, index.triples)[:sums]:
+            self._exact(combinations)
         self._best_fit()
 
-    def _take(self, lengths: list[int]) -> int:
+    @classmethod
+    def best(cls, count: np.ndarray, room: int = ROOM) -> Plan:
+        """The fewest sequences of four plans: complements up to triples, up to pairs, single ones, and best fit alone.
+
+        Pairs and triples close some gaps exactly, but take short pieces that others need. Ties go to more complements.
+        """
+        return min((cls(count, room, sums) for sums in (3, 2, 1, 0)), key=lambda p: p.sequences)
+
+    @property
+    def sequences(self) -> int:
+        return sum(times for _, times in self.patterns)
+
+    def _take(self, lengths: list[int]) -> None:
         """Consumes the combination as often as the counts allow."""
-        need = np.bincount(lengths, minlength=self.room + 1)
-        some = np.flatnonzero(need)
-        times = int((self.left[some] // need[some]).min())
+        need = Counter(lengths)
+        times = min(int(self.left[size]) // n for size, n in need.items())
         if times:
-            self.left[some] -= times * need[some]
+            for size, n in need.items():
+                self.left[size] -= times * n
             self.patterns.append((tuple(lengths), times))
-        return times
-
-    def _exact(self) -> None:
-        left, room = self.left, self.room
-        if left[room]:
-            self.patterns.append(((room,), int(left[room])))
-            left[room] = 0
-        for big in range(room - 1, 0, -1):
-            gap = room - big
-            if left[big] and gap <= big:
-                self._take([big, gap])
-            while left[big] and (pair := self._pair(gap, big)):
-                self._take([big, *pair])
-            while left[big] and (triple := self._triple(gap, big)):
-                self._take([big, *triple])
-
-    def _pair(self, gap: int, big: int):
-        """Two lengths no longer than big that sum to gap, with pieces for one more sequence."""
-        a = np.arange((gap + 1) // 2, min(gap - 1, big) + 1)
-        b = gap - a
-        need_a, need_b = 1 + (a == big) + (a == b), 1 + (b == big)
-        fits = np.flatnonzero((self.left[a] >= need_a) & (self.left[b] >= need_b) & ((a != b) | (self.left[a] >= 2 + (a == big))))
-        return [int(a[fits[-1]]), int(b[fits[-1]])] if len(fits) else None
-
-    def _triple(self, gap: int, big: int):
-        for a in range(min(gap - 2, big), (gap + 2) // 3 - 1, -1):
-            if self.left[a] >= 1 + (a == big):
-                self.left[a] -= 1
-                self.left[big] -= 1
-                pair = self._pair_free(gap - a, a)
-                self.left[a] += 1
-                self.left[big] += 1
-                if pair:
-                    return [a, *pair]
-        return None
-
-    def _pair_free(self, gap: int, most: int):
-        """Two lengths no longer than most that sum to gap; the counts are net of what the combination holds already."""
-        b = np.arange((gap + 1) // 2, min(gap - 1, most) + 1)
-        if not len(b):
-            return None
-        c = gap - b
-        fits = np.flatnonzero((self.left[b] >= 1 + (b == c)) & (self.left[c] >= 1))
-        return [int(b[fits[-1]]), int(c[fits[-1]])] if len(fits) else None
+
+    def _exact(self, combinations: Callable) -> None:
+        """Closes the gaps beside the longest pieces first, with pieces no longer than those."""
+        for big in range(self.room - 1, 0, -1):
+            if self.left[big]:
+                for some in combinations(self.room - big, big):
+                    self._take([big, *some])
+                    if not self.left[big]:
+                        break
 
     def _best_fit(self) -> None:
         """The rest, longest first, each into the fullest sequences that still hold it."""
@@ -206,7 +225,7 @@ def pack(docs: DataFrame, room: int = ROOM, end: int = END, vocabulary: str = VO
     counts = np.zeros(room + 1, np.int64)
     for r in pieces.groupBy("length").count().collect():  # at most room rows
         counts[r["length"]] = r["count"]
-    slots = Plan(counts, room).slots()
+    slots = Plan.best(counts, room).slots()
     salts = max(1, -(-int(counts.sum()) // RANKED))
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)

@@ -15,7 +15,7 @@ from placelore.llm import anchors, lempelziv, runindex
 from placelore.llm.op1_chat_formatting import preference_pairs
 from placelore.llm.op2_license_scan import TEMPLATES, scan
 from placelore.llm.op3_suffix_dedup import remove_repeats
-from placelore.llm.op4_best_fit_packing import Plan, pack, token_ids
+from placelore.llm.op4_best_fit_packing import Plan, cut, pack, token_ids
 from placelore.llm.op5_ngram_jaccard import choose_bands, classes
 from placelore.llm.op6_token_counts import Counter as TokenCounter
 from placelore.llm.op6_token_counts import default_model, token_counts
@@ -222,11 +222,57 @@ def test_special_strings_and_long_runs_are_ids_as_in_the_library():
         assert token_ids(t.encode()).tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+def test_ids_of_all_texts_are_the_librarys():
+    import pyarrow.parquet as pq
+
+    from placelore.llm.op4_best_fit_packing import encoders
+
+    library = encoders("byte_bpe_50k")[1]
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column(0).to_pylist()]
+    for i in range(0, len(texts), 500):
+        for t, e in zip(texts[i : i + 500], library.encode_batch_fast(texts[i : i + 500], add_special_tokens=False), strict=True):
+            assert token_ids(t.encode()).tolist() == e.ids
+
+
+def lengths_of(kind: str) -> np.ndarray:
+    rng = np.random.default_rng(5)
+    if kind == "uniform":
+        return rng.integers(1, 1025, 20_000)
+    if kind == "large":
+        return rng.integers(300, 1025, 20_000)
+    if kind == "log-normal":
+        return np.concatenate([cut(int(n), 1024) for n in np.exp(rng.normal(5.5, 1, 20_000)) + 1])
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column(0).to_pylist()
+    return np.concatenate([cut(len(token_ids((t or "").encode())) + 1, 1024) for t in texts])
+
+
+@pytest.mark.parametrize("kind", ["uniform", "large", "log-normal", "real"])
+def test_plan_needs_no_more_sequences_than_best_fit_alone(kind):
+    count = np.bincount(lengths_of(kind), minlength=1025)
+    plan = Plan.best(count)
+    used = np.zeros(1025, np.int64)
+    for some, times in plan.patterns:
+        assert sum(some) <= 1024
+        np.add.at(used, list(some), times)
+    assert (used == count).all()
+    assert plan.sequences <= Plan(count, sums=0).sequences
+    if kind in ("log-normal", "real"):
+        assert plan.sequences <= 1 + -(-int(count @ np.arange(1025)) // 1024)
+
+
+def test_complements_of_one_two_and_three_lengths():
+    for gap, count in (((4,), {6: 2, 4: 2}), ((3, 2), {5: 1, 3: 1, 2: 1}), ((3, 2, 1), {4: 1, 3: 1, 2: 1, 1: 1})):
+        plan = Plan(np.bincount([x for x, n in count.items() for _ in range(n)], minlength=11), 10)
+        assert plan.sequences == max(count.values()) and sorted(plan.patterns[0][0][1:], reverse=True) == sorted(gap, reverse=True)
+
+
 def test_plan_uses_every_piece_once():
     rng = np.random.default_rng(1)
     for _ in range(20):
         count = np.bincount(rng.integers(1, 101, rng.integers(0, 400)), minlength=101)
-        plan = Plan(count, 100)
+        plan = Plan.best(count, 100)
         used = Counter()
         for lengths, times in plan.patterns:
             assert sum(lengths) <= 100
