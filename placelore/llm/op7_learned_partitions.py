@@ -14,16 +14,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from placelore.llm.common import read
+from placelore.llm.common import read, table
 from placelore.shipping import ship
 
 #: Vectors, at most, that the partition and the network are fitted on.
 SAMPLE = 8192
-NEIGHBOURS, HIDDEN, EPOCHS = 10, 64, 12
-#: Vectors, about, of a partition, and partitions at most.
-EACH, MOST = 2048, 256
+NEIGHBOURS, HIDDEN, EPOCHS = 10, 128, 12
+#: Vectors, about, of a partition, and partitions at most: the sample has 32 vectors for each.
+EACH, MOST = 256, 256
 #: Partitions of a group, which a query visits once; vectors and queries of a block.
-GROUP, VECTORS, QUERIES = 4, 8192, 4096
+GROUP, VECTORS, QUERIES = 8, 8192, 4096
 #: Partitions of a query, at least, and the share of its true neighbours that they must hold.
 PROBES, RECALL = 8, 0.9
 #: Queries that recall is measured on; with fewer than LEAST, all partitions are searched. Standard errors it must be above.
@@ -207,11 +207,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, probes: int = PRO
     """For each query its k nearest vectors by inner product among the partitions it is routed to, but its own id.
 
     Returns query_id, rank, vec_id, score. Every vector is placed in a partition; only the fit uses a sample. A query goes to
-    probes partitions, or to so many more that queries held out of the fit find the given share of their true neighbours.
+    probes partitions, or to so many more that queries held out of the fit find the given share of their true neighbours, and
+    always to so many that k candidates stand there, if the table has them.
 
-    Vectors that are null, zero or hold a null or non-finite component take no part, nor do rows without an id. Repeated rows
-    of one id count once. Ties go to the smaller id. An empty table gives an empty result. Other columns are not looked at.
-    All vectors must have one length.
+    Vectors that are null, zero or hold a null or non-finite component take no part, nor do rows without an id, nor vectors of
+    another length than most have (of equally frequent lengths the shorter counts). Of repeated rows of one id the nearest
+    counts as a candidate, and the smallest vector asks. Ties go to the smaller id. An empty table gives an empty result. Other
+    columns are not looked at. Placed vectors are written once to the shared scratch folder.
     """
     ship(vectors.sparkSession)
     e = F.col(f"`{embedding}`")
@@ -221,13 +223,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, probes: int = PRO
         good = e.isNotNull() & F.forall(e, real) & F.exists(e, lambda x: x != 0) & F.col(f"`{vec_id}`").isNotNull()
         return df.where(F.coalesce(good, F.lit(False))).select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.transform(e, lambda x: x.cast("double")).alias("v"))
 
-    rows, asked = valid(vectors), valid(queries).dropDuplicates(["vec_id"])
-    total = rows.count()
+    rows = valid(vectors)
+    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.countDistinct("vec_id").alias("ids")).orderBy(F.desc("n"), "d").first()
+    if sizes is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    total, spare = sizes["n"], sizes["n"] - sizes["ids"]
+    rows = rows.where(F.size("v") == sizes["d"])
+    asked = valid(queries).where(F.size("v") == sizes["d"]).groupBy("vec_id").agg(F.min("v").alias("v"))
     h = F.xxhash64("vec_id")
     some = rows.withColumn("h", h).orderBy("h", "vec_id").limit(sample).collect()
-    empty = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not some:
-        return empty
     x = np.array([r["v"] for r in some])
     parts = int(max(1, min(MOST, total // EACH, len(x) // 32)))
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -240,7 +244,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, probes: int = PRO
                 at = towards(matrix(batch.column("v"))).argmax(1)
                 yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(at, pa.int32())], ["vec_id", "v", "part"])
 
-    placed = rows.mapInArrow(place, "vec_id long, v array<double>, part int")
+    placed = table(rows.mapInArrow(place, "vec_id long, v array<double>, part int"), "placed")
+    holds = np.zeros(parts, np.int64)
+    for r in placed.groupBy("part").count().collect():  # a row for each partition
+        holds[r["part"]] = r["count"]
     if parts > probes:
         held = asked.where(h > some[-1]["h"]) if len(some) == sample else asked.limit(0)
         trial = held.orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(TRIALS).collect()
@@ -268,16 +275,20 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, probes: int = PRO
     def route(batches):
         for batch in batches:
             if batch.num_rows:
-                v = matrix(batch.column("v"))
-                best = np.sort(np.argsort(-towards(v), axis=1)[:, :probes], axis=1)
-                new = np.c_[np.full(len(v), True), best[:, 1:] // GROUP != best[:, :-1] // GROUP].ravel()  # a row for each group
-                take = pa.array(np.repeat(np.arange(len(v)), probes)[new])
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[np.flatnonzero(new), best.size], pa.int32()), pa.array(best.ravel(), pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(take), batch.column("v").take(take), lists, pa.array(best.ravel()[new] // GROUP, pa.int32())], ["vec_id", "v", "probed", "grp"])
+                order = np.argsort(-towards(matrix(batch.column("v"))), axis=1, kind="stable")
+                enough = (holds[order].cumsum(1) < k + 1 + spare).sum(1) + 1  # its own row and repeated ones are no candidates
+                take = np.minimum(parts, np.maximum(probes, enough))
+                of = np.repeat(np.arange(len(order)), take)
+                best = order[np.arange(parts) < take[:, None]]
+                best = best[np.lexsort((best, of))]
+                new = np.r_[True, (of[1:] != of[:-1]) | (best[1:] // GROUP != best[:-1] // GROUP)]  # a row for each group
+                of = pa.array(of[new])
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[np.flatnonzero(new), best.size], pa.int32()), pa.array(best, pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(of), batch.column("v").take(of), lists, pa.array(best[new] // GROUP, pa.int32())], ["vec_id", "v", "probed", "grp"])
 
     placed = placed.withColumn("grp", F.floor(F.col("part") / GROUP).cast("int"))
     routed = asked.mapInArrow(route, "vec_id long, v array<double>, probed array<int>, grp int")
-    salts = {r["grp"]: -(-r["count"] // VECTORS) for r in placed.groupBy("grp").count().collect()}  # a row for each group
+    salts = {g: -(-int(holds[g * GROUP : (g + 1) * GROUP].sum()) // VECTORS) for g in range(-(-parts // GROUP))}
     chunks = {r["grp"]: -(-r["count"] // QUERIES) for r in routed.groupBy("grp").count().collect()}
     of = lambda m: F.element_at(F.array(*(F.lit(max(1, m.get(g, 1))) for g in range(-(-parts // GROUP)))), F.col("grp") + 1)
     left = routed.withColumn("chunk", F.pmod(h, of(chunks)).cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0), of(salts) - 1)))

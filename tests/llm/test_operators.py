@@ -493,6 +493,35 @@ def test_nearest_neighbours_recall_with_many_partitions(spark, monkeypatch):
         assert [r["vec_id"] for r in sorted(few, key=lambda r: r["rank"]) if r["query_id"] == q] == np.argsort(-s)[:20].tolist()
 
 
+def test_nearest_neighbours_recall_at_fifty_thousand(spark, tmp_path):
+    """Queries are the ids divisible by 50, against all rows, through about 195 partitions of which some are searched."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(2)
+    x = (rng.normal(size=(300, 24))[rng.integers(0, 300, 50_000)] + 0.6 * rng.normal(size=(50_000, 24))) * rng.uniform(0.8, 1.2, (50_000, 1))
+    pq.write_table(pa.table({"vec_id": np.arange(50_000), "embedding": pa.array(x.tolist())}), tmp_path / "v.parquet")
+    df = spark.read.parquet(str(tmp_path / "v.parquet"))
+    got = defaultdict(set)
+    for r in search(df, df.where("vec_id % 50 = 0")).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    q = np.arange(0, 50_000, 50)
+    s = x[q] @ x.T
+    s[np.arange(len(q)), q] = -np.inf
+    best = np.argpartition(-s, 20, axis=1)[:, :20]
+    assert all(len(got[i]) == 20 for i in q.tolist())
+    hit = sum(len(got[i] & set(b)) for i, b in zip(q.tolist(), best.tolist(), strict=True))
+    assert 0.9 <= hit / (20 * len(q)) < 1  # below 1: not all partitions were searched
+
+
+def test_nearest_neighbours_of_odd_rows(spark):
+    """Ragged vectors, repeated ids with other vectors, fewer candidates than asked for."""
+    rows = [(1, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [0.0, 2.0]), (3, [1.0, 1.0]), (3, [1.0, 1.0]), (4, [1.0, 1.0, 1.0]), (5, [3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in search(df, df).collect()}
+    assert got == {(1, 1): (3, 0.5), (1, 2): (2, 0.0), (2, 1): (3, 2.0), (2, 2): (1, 0.0), (3, 1): (2, 2.0), (3, 2): (1, 1.0)}
+
+
 def test_license_notices_back_to_back(spark):
     """Each of several short notices that stand closer together than the band, whole or without a word."""
     name = dict(TEMPLATES)
