@@ -6,8 +6,9 @@ scanned where it is read, so no key can be hot.
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections import defaultdict
+import math
+from bisect import bisect_left, insort
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -17,20 +18,11 @@ from pyspark.sql import functions as F
 from placelore.llm.anchors import slices, texts_of
 from placelore.llm.arrays import U, groups, mix, prefix, span, split_words
 from placelore.llm.common import read
+from placelore.llm.licenses import TEMPLATES
 from placelore.shipping import ship
 
-#: Short notices by which texts name their licence. Names are in natural order; give others as a parameter.
-TEMPLATES = (
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("bsd-3-clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
-    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("mit", "Released under the MIT License."),
-    ("mit-permission", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
-    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-)
-#: Words of a fingerprint, fingerprints of a winnowing window; words off the diagonal that an alignment may stray.
+#: Words of a fingerprint and fingerprints of a winnowing window, at most; words off the diagonal that an alignment may stray,
+#: at least: it may stray by as many as the coverage allows to be left out.
 GRAM, WINDOW, BAND = 3, 2, 8
 #: Least share of a template's words that must be matched.
 COVERAGE = 0.8
@@ -57,30 +49,52 @@ def winnow(sym: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndar
     return pick, g[pick]
 
 
+def intact(n: int, coverage: float) -> int:
+    """The longest run of a template's n words that must be left when as many as the coverage allows are changed or missing."""
+    lost = int((1 - coverage) * n + 1e-9)
+    return -(-(n - lost) // (lost + 1))
+
+
 class Index:
-    """Templates' words, and an inverted index from fingerprint to (template, place)."""
+    """Templates' words, and an inverted index from fingerprint to (template, place) for each length of fingerprint.
+
+    Fingerprint and winnowing window of a template are so short that some fingerprint lies in its longest intact run.
+    """
 
-    def __init__(self, templates=TEMPLATES, gram: int = GRAM, window: int = WINDOW):
-        self.gram, self.window = gram, window
-        self.names, self.words = [], []
-        self.posts: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    def __init__(self, templates=TEMPLATES, coverage: float = COVERAGE, gram: int = GRAM, window: int = WINDOW):
+        self.names, self.words, self.sorted = [], [], []
+        self.least: list[int] = []
+        self.posts: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         for i, (name, text) in enumerate(templates):
             *_, sym = split_words([plain(text.encode())])
             self.names.append(name)
             self.words.append(sym.tolist())
-            for place, key in zip(*winnow(sym, gram, window), strict=True):
-                self.posts[int(key)].append((i, int(place)))
-        self.keys = np.sort(np.array(list(self.posts), U))
+            self.sorted.append(np.sort(sym))
+            self.least.append(math.ceil(coverage * len(sym) - 1e-9))
+            run = intact(len(sym), coverage)
+            size = min(gram, run)
+            if size:
+                for place, key in zip(*winnow(sym, size, min(window, run - size + 1)), strict=True):
+                    self.posts[size][int(key)].append((i, int(place)))
+        self.keys = {size: np.sort(np.array(list(posts), U)) for size, posts in self.posts.items()}
 
     def candidates(self, sym: np.ndarray) -> list[tuple[int, list[int]]]:
-        """(template, its diagonals in order) on which a text shares a winnowed fingerprint with the template."""
-        place, key = winnow(sym, self.gram, 1)  # of the text every gram: a run of gram + window - 1 words can't be missed
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        seen: dict[int, set[int]] = defaultdict(set)
-        for p, k in zip(place[self.keys[at] == key].tolist(), key[self.keys[at] == key].tolist(), strict=True):
-            for t, q in self.posts[k]:
-                seen[t].add(p - q)
-        return [(t, sorted(diagonals)) for t, diagonals in seen.items()]
+        """(template, diagonals) on which a text shares winnowed fingerprints with it; those with the most fingerprints first."""
+        seen: dict[int, Counter] = defaultdict(Counter)
+        for size, keys in self.keys.items():
+            place, key = winnow(sym, size, 1)  # of the text every gram: a run of gram + window - 1 words can't be missed
+            held = keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key
+            for p, k in zip(place[held].tolist(), key[held].tolist(), strict=True):
+                for t, q in self.posts[size][k]:
+                    seen[t][p - q] += 1
+        return [(t, sorted(many, key=lambda d: (-many[d], d))) for t, many in seen.items()]
+
+    def possible(self, t: int, part: np.ndarray) -> bool:
+        """Does part hold enough of the template's words, wherever they stand?"""
+        words = self.sorted[t]
+        part = np.sort(part)
+        at = np.minimum(np.searchsorted(part, words), len(part) - 1)
+        return int((part[at] == words).sum()) >= self.least[t]
 
 
 def align(template: list, words: list, diagonal: int, band: int) -> tuple[int, int, int, int]:
@@ -116,39 +130,41 @@ def align(template: list, words: list, diagonal: int, band: int) -> tuple[int, i
     return best
 
 
-def matches(text: bytes, sym: np.ndarray, start: np.ndarray, end: np.ndarray, index: Index, coverage: float, band: int) -> list[tuple]:
-    """(template, matched, coverage, begin, end) of a text, in bytes; of overlapping spans of one template the best stays."""
+def matches(sym: np.ndarray, start: np.ndarray, end: np.ndarray, index: Index, band: int) -> list[tuple]:
+    """(template, matched, coverage, begin, end) of a text, in bytes; of overlapping spans the best stays, of any template."""
     found = []
     for t, diagonals in index.candidates(sym):
         words = index.words[t]
-        n, same = len(words), [d for d in diagonals if d >= 0 and sym[d : d + len(words)].tolist() == words]
-        taken: list[int] = []
+        n, same = len(words), sorted(d for d in diagonals if d >= 0 and sym[d : d + len(words)].tolist() == words)
+        wide = max(band, n - index.least[t])  # words left out move the rest by as many
+        taken: list[tuple[int, int]] = []
         for d in same:  # nothing beats a whole copy
-            if not taken or d >= taken[-1] + n:
-                taken.append(d)
+            if not taken or d >= taken[-1][1]:
+                taken.append((d, d + n))
                 found.append((-MATCH * n, d, d + n, t, n, 1.0))
-        for diagonal in sorted({*diagonals}.difference(same)):
-            low, high = max(0, diagonal - band), min(len(sym), diagonal + n + band)
+        for diagonal in diagonals:
+            low, high = max(0, diagonal - wide), min(len(sym), diagonal + n + wide)
             free = []
-            for d in taken[bisect_left(taken, low - n + 1) : bisect_left(taken, high)]:
-                free.append((low, d))
-                low = d + n
+            for a, b in taken[max(0, bisect_left(taken, (low, 0)) - 1) : bisect_left(taken, (high, 0))]:
+                free.append((low, a))
+                low = max(low, b)
             free.append((low, high))
             while free:  # a short notice may stand several times within the band
                 low, high = free.pop()
-                if high - low < coverage * n - 1e-9:
+                if high - low < index.least[t] or not index.possible(t, sym[low:high]):
                     continue
-                score, matched, a, b = align(words, sym[low:high].tolist(), diagonal - low, band)
+                score, matched, a, b = align(words, sym[low:high].tolist(), diagonal - low, wide)
                 if score:
-                    if matched / n >= coverage:
+                    if matched >= index.least[t]:
                         found.append((-score, low + a, low + b, t, matched, matched / n))
+                        insort(taken, (low + a, low + b))
                     free += [(low, low + a), (low + b, high)]
     out: list[tuple] = []
-    spans: dict[int, list[tuple[int, int]]] = defaultdict(list)  # of each template, in order
+    spans: list[tuple[int, int]] = []  # in order
     for _, a, b, t, matched, share in sorted(set(found)):
-        at = bisect_left(spans[t], (a, b))
-        if (at == 0 or spans[t][at - 1][1] <= a) and (at == len(spans[t]) or spans[t][at][0] >= b):
-            spans[t].insert(at, (a, b))
+        at = bisect_left(spans, (a, b))
+        if (at == 0 or spans[at - 1][1] <= a) and (at == len(spans) or spans[at][0] >= b):
+            spans.insert(at, (a, b))
             out.append((t, matched, share, int(start[a]), int(end[b - 1]), a, b))
     return [o[:5] for o in sorted(out, key=lambda o: (o[3], o[0]))]
 
@@ -157,13 +173,17 @@ def scan(docs: DataFrame, templates=TEMPLATES, coverage: float = COVERAGE, band:
     """Finds the licence notices in every whole text.
 
     Returns a row for each match: doc_id, template, n_template_words, n_matched, coverage, begin and end (in characters) and
-    found (the text's own words there). Words are compared in lower case without punctuation.
+    found (the text's own words there). Words are compared in lower case without punctuation. Of overlapping matches the one
+    with the highest score stays (twice its matched words less its gaps and changes), then the earlier one, then the earlier
+    template; so a near relative does not take the name of the licence that is there.
 
-    Null and empty texts have no matches. Repeated rows each have their matches; a null id stays null. A notice that stands
+    A notice whose words are changed or missing within the coverage is never passed over; one with words put in between them
+    is found if a fingerprint of it (three words, two in a notice of five or less) is left whole. Templates without words
+    match nothing; without templates the result is empty. Null and empty texts have no matches. Repeated rows each have their matches; a null id stays null. A notice that stands
     several times is several matches. An empty table gives an empty result. Other columns are not looked at.
     """
     ship(docs.sparkSession)
-    index = Index(templates)
+    index = Index(templates, coverage)
     kept = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("body"))
     kind = kept.schema["doc_id"].dataType.simpleString()
 
@@ -179,7 +199,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, coverage: float = COVERAGE, band:
                 for i in range(len(part)):
                     a, b = edge[i], edge[i + 1]
                     whole = texts[first + i]
-                    for t, matched, share, x, y in matches(whole, sym[a:b], start[a:b] - begin[i], end[a:b] - begin[i], index, coverage, band):
+                    for t, matched, share, x, y in matches(sym[a:b], start[a:b] - begin[i], end[a:b] - begin[i], index, band):
                         of.append(first + i)
                         at = len(whole[:x].decode())
                         said = whole[x:y].decode()
