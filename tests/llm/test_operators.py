@@ -540,6 +540,60 @@ def test_license_notices_back_to_back(spark):
         assert got[i, template] == [x.removesuffix(".") for x in lines if "GPL" not in x]
 
 
+def matched_words(template: list[str], text: list[str]) -> list[list[int]]:
+    """Brute force: for each window of the text the words it has in common with the template, in order."""
+    longest = [[0] * (len(text) + 1) for _ in range(len(text) + 1)]
+    for i in range(len(text)):
+        row = [0] * (len(template) + 1)
+        for j in range(i, len(text)):
+            new = [0]
+            for k, t in enumerate(template):
+                new.append(row[k] + 1 if t == text[j] else max(row[k + 1], new[k]))
+            row = new
+            longest[i][j + 1] = row[-1]
+    return longest
+
+
+def test_license_scan_against_brute_force(spark):
+    """Words changed or left out, within the coverage and beyond: a notice is found if brute force finds it, and not otherwise."""
+    from placelore.llm.op2_license_scan import plain
+
+    rng = random.Random(21)
+    split = lambda t: plain(t.encode()).decode().split()
+    other = [f"q{i}" for i in range(50)]
+    rows, want = [], {}
+    for name, text in TEMPLATES:
+        for share in (0, 0.1, 0.2, 0.3):
+            said = split(text)
+            places = rng.sample(range(len(said)), int(share * len(said) + 1e-9))
+            for p in sorted(places, reverse=True):
+                said[p : p + 1] = [rng.choice(other)] if rng.random() < 0.5 else []
+            rows.append((len(rows), " ".join([*rng.sample(other, 20), *said, *rng.sample(other, 20)])))
+            if share <= 0.2:
+                want[rows[-1][0]] = name
+    got = defaultdict(list)
+    for r in scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r["doc_id"]].append(r)
+    by_name = {n: split(t) for n, t in TEMPLATES}
+    for i, name in want.items():
+        assert got[i], (name, rows[i])
+        if name in ("apache-2.0-notice", "bsd-3-clause", "cc0-1.0", "isc", "mit-text", "mpl-2.0", "zlib"):  # without near relatives
+            assert name in [r["template"] for r in got[i]], (name, got[i])
+    for i, found in got.items():
+        for r in found:
+            said = split(r["found"])
+            assert matched_words(by_name[r["template"]], said)[0][len(said)] == r["n_matched"] or len(said) > 60
+            assert r["n_matched"] >= 0.8 * r["n_template_words"]
+
+
+def test_license_templates_of_any_length(spark):
+    df = spark.createDataFrame([(1, "All rights RESERVED (c) by WTFPL, two three")], "doc_id long, text string")
+    assert scan(df, templates=()).count() == 0
+    found = scan(df, templates=(("none", "..."), ("one", "wtfpl"), ("two", "two  Three"), ("five", "All rights waived by wtfpl"))).collect()
+    assert sorted((r["template"], r["found"]) for r in found) == [("five", "All rights RESERVED (c) by WTFPL"), ("two", "two three")]
+    assert [r["found"] for r in scan(df, templates=(("one", "wtfpl"),)).collect()] == ["WTFPL"]
+
+
 def test_near_duplicates_of_texts_that_share_an_id(spark):
     import corpus_pipeline
 
@@ -551,3 +605,24 @@ def test_near_duplicates_of_texts_that_share_an_id(spark):
     assert got.columns == docs.columns
     key = lambda r: (r[0] or 0, r[1])
     assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=key) == sorted([(1, a), (5, b), (5, c), (7, d), (None, e)], key=key)
+
+
+def test_pipeline_stages_on_empty_tables_and_clashing_columns(spark, empty):
+    """Columns that the stages use inside, rows that differ in other columns only, ids and texts that are null."""
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    a, b = (" ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(120)) for _ in range(2))
+    schema = SCHEMA + ", fp long, place long, `a.b` string, mix_tokens int, mix_epoch int, mix_salt string"
+    more = (9, 8, "dot", 7, 6, "salt")
+    rows = [(2, a, "en", "s", len(a), 5, 4, "r", *more), (2, a, "de", "s", len(a), 5, 4, "r", *more), (3, b, None, None, None, 1, 1, None, *more), (None, None, None, None, None, None, None, None, *more)]
+    docs = spark.createDataFrame(rows, schema)
+    none = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, "")
+        assert got.columns == docs.columns, name
+        kept = {(r["doc_id"], r["node"], r["a.b"], r["mix_tokens"], r["place"]) for r in got.collect()}
+        assert {(2, 5, "dot", 7, 8), (3, 1, "dot", 7, 8)} <= kept, name
+        assert stage(spark, none, "").count() == 0, name
+    assert [(r["doc_id"], r["lang"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").where("doc_id = 2").collect()] == [(2, "de")]
+    assert corpus_pipeline.packing(spark, none, "").count() == 0
