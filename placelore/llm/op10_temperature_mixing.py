@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from placelore.llm.common import fresh, read
+from placelore.llm.common import fresh, read, table
 from placelore.shipping import ship
 
 #: No source is repeated more often than this.
@@ -70,8 +70,9 @@ def with_blocks(rows: DataFrame, blocks: DataFrame, source: str, code: str, sour
     """rows with their source's number of blocks. A hot source never fills one task: rows stay where they are, or are salted."""
     if sources <= FEW_SOURCES:
         return rows.join(F.broadcast(blocks), source)
-    salted = blocks.withColumn("mix_salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("mix_salt_", F.pmod(F.col(code), F.lit(SALTS)).cast("int")).join(salted, [source, "mix_salt_"]).drop("mix_salt_")
+    (salt,) = fresh(rows, "mix_salt")
+    salted = blocks.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn(salt, F.pmod(F.col(code), F.lit(SALTS)).cast("int")).join(salted, [source, salt]).drop(salt)
 
 
 def mix(docs: DataFrame, limit: float = REPETITION, entropy: float | None = None, budget: int | None = None, block_tokens: int = BLOCK_TOKENS, seed: str = SEED, doc_id: str = "doc_id", text: str = "text", source: str = "source", keep: bool = False) -> DataFrame:
@@ -87,11 +88,15 @@ def mix(docs: DataFrame, limit: float = REPETITION, entropy: float | None = None
     ordering by it interleaves the sources by weight); with keep all columns of docs and nothing else.
 
     A null text counts as empty; null sources are one source; sources without any token keep their documents, once, as one
-    block. Rows with null ids, and repeated rows, are scheduled like any others. An empty table gives an empty result.
+    block. Rows with null ids, and repeated rows, are scheduled like any others. An empty table gives an empty result. Texts
+    are read once: words, code and what is returned are written to the shared scratch folder.
     """
     ship(docs.sparkSession)
-    s, n, b = fresh(docs, "mix_source", "mix_tokens", "mix_block")
-    tagged = docs.withColumn(s, F.coalesce(F.concat(F.lit("="), F.col(f"`{source}`").cast("string")), F.lit(""))).withColumn(n, word_count(f"`{text}`"))
+    s, n, b, at, many, epoch, slot, position = fresh(docs, *(f"mix_{c}" for c in ("source", "tokens", "block", "code", "blocks", "epoch", "slot", "position")))
+    code = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col(f"`{doc_id}`").cast("string"), F.md5(F.coalesce(F.col(f"`{text}`"), F.lit(""))))), 1, 8), 16, 10).cast("long")
+    whole = F.coalesce(F.concat(F.lit("="), F.col(f"`{source}`").cast("string")), F.lit(""))
+    wanted = docs.columns if keep else dict.fromkeys((doc_id, source))
+    tagged = table(docs.select(*(F.col(f"`{c}`") for c in wanted), whole.alias(s), word_count(f"`{text}`").alias(n), code.alias(at)), "tagged")
     totals = tagged.groupBy(F.col(s).alias("s")).agg(F.sum(n).alias("tokens"))
     grand = totals.agg(F.sum("tokens").alias("t"), F.min(F.when(F.col("tokens") > 0, F.col("tokens"))).alias("least"), F.max("tokens").alias("most"), F.count("*").alias("sources")).first()
     total = grand["t"] or 0
@@ -107,19 +112,17 @@ def mix(docs: DataFrame, limit: float = REPETITION, entropy: float | None = None
         e = F.pow(F.col("tokens") / F.lit(float(total or 1)), F.lit(t)) / F.lit(z) * F.lit(float(budget)) / F.col("tokens")
     each = max(block_tokens, -(-total // BLOCKS))
     shown = totals.select("s", "tokens", F.when(F.col("tokens") > 0, e).otherwise(F.lit(1.0)).alias("e"), F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.lit(each))).alias("blocks"))
-    code = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col(f"`{doc_id}`").cast("string"), F.md5(F.coalesce(F.col(f"`{text}`"), F.lit(""))))), 1, 8), 16, 10).cast("long")
-    (at,) = fresh(tagged, "mix_code")
-    dealt = with_blocks(tagged.withColumn(at, code), shown.select(F.col("s").alias(s), F.col("blocks").alias("mix_blocks_")), s, at, grand["sources"]).withColumn(b, F.pmod(F.col(at), F.col("mix_blocks_"))).drop("mix_blocks_", at)
+    dealt = with_blocks(tagged, shown.select(F.col("s").alias(s), F.col("blocks").alias(many)), s, at, grand["sources"]).withColumn(b, F.pmod(F.col(at), F.col(many))).drop(many, at)
     block = dealt.groupBy(F.col(s).alias("s"), F.col(b).alias("b")).agg(F.sum(n).alias("n")).join(shown, "s")
     runs = block.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil("e").cast("int") - 1))))
     permuted = Window.partitionBy("s").orderBy("epoch", F.md5(F.concat_ws("|", F.lit(seed), "s", "epoch", "b")), "b")
     placed = runs.withColumn("before", F.coalesce(F.sum("n").over(permuted.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("slot", F.row_number().over(permuted))
     quota = F.col("e") * F.col("tokens")
-    taken = placed.where((F.col("tokens") == 0) | (F.col("before") + F.col("n") / 2 <= quota)).select(F.col("s").alias(s), F.col("b").alias(b), F.col("epoch").alias("mix_epoch_"), F.col("slot").cast("long").alias("mix_slot_"), F.when(F.col("tokens") == 0, 0.0).otherwise((F.col("before") + F.col("n") / 2) / quota).alias("mix_position_"))
+    taken = placed.where((F.col("tokens") == 0) | (F.col("before") + F.col("n") / 2 <= quota)).select(F.col("s").alias(s), F.col("b").alias(b), F.col("epoch").alias(epoch), F.col("slot").cast("long").alias(slot), F.when(F.col("tokens") == 0, 0.0).otherwise((F.col("before") + F.col("n") / 2) / quota).alias(position))
     out = dealt.join(taken, [s, b])
     if keep:
         return out.select(*(F.col(f"`{c}`") for c in docs.columns))
-    return out.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), F.col(n).alias("n_tokens"), F.col("mix_epoch_").alias("epoch"), F.col(b).alias("block"), F.col("mix_slot_").alias("slot"), F.col("mix_position_").alias("position"))
+    return out.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), F.col(n).alias("n_tokens"), F.col(epoch).alias("epoch"), F.col(b).alias("block"), F.col(slot).alias("slot"), F.col(position).alias("position"))
 
 
 def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
