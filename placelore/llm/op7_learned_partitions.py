@@ -23,7 +23,9 @@ NEIGHBOURS, HIDDEN, EPOCHS = 10, 128, 12
 #: Vectors, about, of a partition, and partitions at most: the sample has 32 vectors for each.
 EACH, MOST = 256, 256
 #: Partitions of a group, which a query visits once; vectors and queries of a block.
-GROUP, VECTORS, QUERIES = 8, 8192, 4096
+GROUP, VECTORS, QUERIES = 32, 8192, 4096
+#: Pairs, about, whose exact scores are worked at once.
+PAIRS = 1 << 16
 #: Partitions of a query, at least, and the share of its true neighbours that they must hold.
 PROBES, RECALL = 8, 0.9
 #: Queries that recall is measured on; with fewer than LEAST, all partitions are searched. Standard errors it must be above.
@@ -131,36 +133,24 @@ def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def nearest(q_id, q, v_id, v, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best of v for each of q but its own id, ties to the smaller id, by exact scores."""
-    order = np.argsort(v_id, kind="stable")
-    v_id, v = v_id[order], v[order]
+    n = min(k + len(v_id) - len(np.unique(v_id)), len(v_id))  # repeated rows of one id may not crowd out others
     out = []
     for i in range(0, len(q), 256):
         rough = q[i : i + 256] @ v.T
         own = q_id[i : i + 256, None] == v_id[None, :]
         rough[own] = -np.inf
-        n = min(k, rough.shape[1])
-        cut = np.partition(rough, rough.shape[1] - n, axis=1)[:, rough.shape[1] - n]
-        tight = 1e-9 * (1 + np.abs(np.where(np.isfinite(cut), cut, 0)))
-        for r in range(len(rough)):
-            c = np.flatnonzero((rough[r] >= cut[r] - tight[r]) & ~own[r])
-            s = inner(np.broadcast_to(q[i + r], (len(c), q.shape[1])), v[c])
-            best = np.lexsort((v_id[c], -s))
-            ids, first = np.unique(v_id[c][best], return_index=True)  # repeated rows of one id count once
-            best = best[np.sort(first)][:k]
-            out.append((np.full(len(best), q_id[i + r]), v_id[c][best], s[best]))
-            if len(ids) < n and len(c) > len(ids):
-                out[-1] = _unique(q_id[i + r], q[i + r], v_id, v, k)
-    return tuple(np.concatenate([o[j] for o in out]) if out else np.zeros(0) for j in range(3))
-
-
-def _unique(q_id, q, v_id, v, k):
-    """As nearest, for one query, where repeated rows have crowded out others."""
-    s = inner(np.broadcast_to(q, v.shape), v)
-    best = np.lexsort((v_id, -s))
-    best = best[v_id[best] != q_id]
-    _, first = np.unique(v_id[best], return_index=True)
-    best = best[np.sort(first)][:k]
-    return np.full(len(best), q_id), v_id[best], s[best]
+        cut = np.partition(rough, len(v_id) - n, axis=1)[:, len(v_id) - n]
+        near = (rough >= (cut - 1e-9 * (1 + np.abs(np.where(np.isfinite(cut), cut, 0))))[:, None]) & ~own
+        many = np.cumsum(near.sum(1))
+        first = 0
+        while first < len(near):  # so many rows that their pairs stay few
+            last = max(first + 1, int(np.searchsorted(many, PAIRS + (many[first - 1] if first else 0), side="right")))
+            row, col = np.nonzero(near[first:last])
+            row += i + first
+            out.append(best_of(row, v_id[col], inner(q[row], v[col]), k))
+            first = last
+    row, ids, score = (np.concatenate([o[j] for o in out]) if out else np.zeros(0, np.int64) for j in range(3))
+    return q_id[row], ids, score
 
 
 def best_of(q, v_id, score, k: int, *more) -> tuple[np.ndarray, ...]:
