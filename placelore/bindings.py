@@ -101,6 +101,19 @@ def scb_areas(spark: SparkSession, d: str) -> DataFrame:
     return n.union(r)
 
 
+def area_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names of nations as municipalities, and of regions as counties under the hundreds of their codes."""
+    n = load(spark, d, "nation").select((F.lit(101) + F.col("n_nationkey")).cast("int").alias("code"), F.col("n_name").alias("name"))
+    return n.union(load(spark, d, "region").select((F.lit(1) + F.col("r_regionkey")).cast("int"), "r_name"))
+
+
+def expected(spark: SparkSession, d: str) -> DataFrame:
+    """(query_id, x, y): the point behind the first place name of each customer's text."""
+    part = load(spark, d, "part").agg(F.count("*").alias("n"))
+    c = load(spark, d, "customer").crossJoin(F.broadcast(part))  # a single row
+    return c.select(F.col("c_custkey").alias("query_id"), (F.col("c_custkey") * 13 % F.col("n") + 1).alias("node_id")).join(nodes(spark, d), "node_id").select("query_id", "x", "y")
+
+
 def road_ways(spark: SparkSession, d: str) -> DataFrame:
     k = F.floor(F.col("o_orderkey") / 16)
     return load(spark, d, "orders").select((k % 24).cast("int").alias("road_type"), (1 + F.floor(k / 24) % 400).cast("int").alias("number"), (F.col("o_orderkey") + 1).alias("way_id"))

@@ -48,10 +48,13 @@ def fallback_quality(rwt: Column) -> Column:
 
 
 def stride(n: Column) -> Column:
-    """How far apart partners are drawn from n nodes: the first step from n / partners on that does not divide n."""
+    """How far apart partners are drawn from n nodes: the first step from n / partners on that does not divide n.
+
+    At most eight numbers from n / 7 on divide n (its quotients by 1 to 8), so nine tries tell.
+    """
     steps = partners(n)
     step = F.floor(n / steps)
-    tried = F.filter(F.sequence(step, F.greatest(step, n - 1)), lambda s: n % s != 0)
+    tried = F.filter(F.sequence(step, F.greatest(step, F.least(step + 8, n - 1))), lambda s: n % s != 0)
     return F.greatest(F.lit(1), F.least(n - 1, F.coalesce(F.get(tried, F.lit(0)), F.lit(1)))).cast("long")
 
 

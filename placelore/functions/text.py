@@ -34,7 +34,7 @@ def _folds() -> tuple[str, str]:
 
 
 FOLD_FROM, FOLD_TO = _folds()
-DASHES = "".join(map(chr, [*range(0x2012, 0x2016), 0x2212, *range(0x2190, 0x2194)]))
+DASHES = "".join(map(chr, [*range(0x2012, 0x2016), 0x2212, *range(0x2190, 0x2200)]))
 #: Symbols and what they become; those of DROPPED vanish.
 SYMBOLS_FROM, SYMBOLS_TO = "²´¡•“”„″‘’‚′" + DASHES, "2'!.\"\"\"\"''''" + "-" * len(DASHES)
 DROPPED = "°®™"
@@ -50,10 +50,18 @@ def normalise(text: Column) -> Column:
     return F.translate(out, FOLD_FROM + SYMBOLS_FROM + DROPPED, FOLD_TO + SYMBOLS_TO)
 
 
+def plain(text: Column) -> Column:
+    """Normalised, other scripts deleted."""
+    return F.regexp_replace(normalise(text), "[^\\u0000-\\u007F\\u00C0-\\u00FF]", "")
+
+
+def split_words(folded: Column) -> Column:
+    return F.filter(F.split(folded, GAPS), lambda w: w != "")
+
+
 def tokens(text: Column) -> Column:
     """The words of a text: normalised, other scripts deleted, split at gaps."""
-    plain = F.regexp_replace(normalise(text), "[^\\u0000-\\u007F\\u00C0-\\u00FF]", "")
-    return F.filter(F.split(plain, GAPS), lambda w: w != "")
+    return split_words(plain(text))
 
 
 def lines(text: Column) -> Column:
@@ -62,9 +70,12 @@ def lines(text: Column) -> Column:
 
 
 def read_words(text: Column, stop_words: tuple[str, ...] = P.STOP_WORDS, unique: bool = False) -> Column:
-    """Words of all lines in order, without stop words and lone punctuation; unique: once for each line."""
-    each = lambda s: F.array_distinct(tokens(s)) if unique else tokens(s)
-    words = F.flatten(F.transform(lines(text), each))
+    """Words of all lines in order, without stop words and lone punctuation; unique: once for each line.
+
+    Comment lines go first, then the whole text is folded once: no expression of a line folds it anew.
+    """
+    folded = plain(F.regexp_replace(text, "(?dm)^#[^\\n]*", ""))
+    words = F.flatten(F.transform(F.split(folded, "\\n"), lambda s: F.array_distinct(split_words(s)))) if unique else split_words(folded)
     stop = F.array(*(F.lit(w) for w in stop_words)) if stop_words else F.array().cast("array<string>")
     return F.filter(words, lambda w: ~F.array_contains(stop, w) & ~w.rlike("^[!-/:-@\\[-`{-~]$"))
 

@@ -66,11 +66,16 @@ def nodes(raw: DataFrame) -> DataFrame:
     return raw.select(F.col("id").alias("node_id"), geo.encode_x(F.col("lon")).alias("x"), geo.encode_y(F.col("lat")).alias("y"))
 
 
+def without(rows: DataFrame, key: str, ids: tuple[int, ...]) -> DataFrame:
+    """Rows whose id is not on a list of a few hundred."""
+    return rows.where(~F.col(key).isin(*ids)) if ids else rows
+
+
 def named_elements(nodes_raw: DataFrame, ways_raw: DataFrame, relations_raw: DataFrame, skip_relations: tuple[int, ...] = P.SKIP_RELATIONS) -> DataFrame:
     """(elem_type, elem_id, rwt, tags) of elements that may have names."""
     n = nodes_raw.where(~F.coalesce(_tag("place").isin(*NO_NAMES) | (_tag("highway") == "traffic_sign") | (_tag("traffic_sign").isNotNull()), F.lit(False)))
     w = ways_raw.where(F.size("refs") >= 2)
-    r = relations_raw.where(~F.col("id").isin(*skip_relations)) if skip_relations else relations_raw
+    r = without(relations_raw, "id", skip_relations)
     part = lambda df, kind, rwt: df.select(F.lit(kind).alias("elem_type"), F.col("id").alias("elem_id"), rwt.alias("rwt"), "tags")
     return part(n, NODE, node_class()).union(part(w, WAY, way_class())).union(part(r, RELATION, relation_class()))
 
@@ -87,9 +92,9 @@ def relation_members(raw: DataFrame) -> DataFrame:
     return rows.select("rel_id", (F.col("pos") + 1).alias("pos"), kind.alias("member_type"), F.col("m.ref").alias("member_id"), role.alias("role_flags"))
 
 
-def road_ways(raw: DataFrame) -> DataFrame:
+def road_ways(raw: DataFrame, skip: tuple[int, ...] = P.SKIP_WAYS) -> DataFrame:
     """Roads under each number of their ref tag."""
-    able = raw.where(_tag("ref").isNotNull() & _tag("highway").isin(*ROAD_HIGHWAYS) & (F.size("refs") >= 2))
+    able = without(raw, "id", skip).where(_tag("ref").isNotNull() & _tag("highway").isin(*ROAD_HIGHWAYS) & (F.size("refs") >= 2))
     rows = able.select(F.col("id").alias("way_id"), F.explode_outer(ref_roads(_tag("ref"))).alias("r")).where("r IS NOT NULL")
     return rows.select("r.road_type", "r.number", "way_id").where(valid_road(F.col("way_id"), F.col("road_type"), F.col("number")))
 

@@ -10,7 +10,8 @@ from placelore.functions.text import admin_name, code_key, index_phrases, normal
 from placelore.schema import NODE, REGIONAL, RELATION, WAY
 from placelore.scratch import table
 
-DEPTH = 8
+#: Grid cells in which regions are looked up, and those in which the nearest road node is, finer ones first: bits of a side.
+CELL, NEAR = 16, (17, 20)
 
 
 def name_index(names: DataFrame) -> DataFrame:
@@ -89,15 +90,24 @@ def centres(elements: DataFrame, nodes: DataFrame, way_nodes: DataFrame, flat: D
     return at.groupBy("elem_type", "elem_id").agg(mean("x"), mean("y"))
 
 
-def representative(elements: DataFrame, way_nodes: DataFrame, members: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(elem_type, elem_id, node_id): the middle member of a relation, the middle node of a way, until a node is reached."""
+def representative(elements: DataFrame, way_nodes: DataFrame, members: DataFrame) -> DataFrame:
+    """(elem_type, elem_id, node_id): the middle member of a relation, the middle node of a way, until a node is reached.
+
+    Relations nested to any depth are followed; one whose middle members lead back to itself has none.
+    """
     mid_way = way_nodes.groupBy("way_id").agg(F.sort_array(F.collect_list(F.struct("pos", "node_id"))).alias("a")).select("way_id", F.element_at("a", (F.floor(F.size("a") / 2) + 1).cast("int"))["node_id"].alias("next"))
     mid_rel = members.groupBy("rel_id").agg(F.sort_array(F.collect_list(F.struct("pos", "member_type", "member_id"))).alias("a")).select("rel_id", F.element_at("a", (F.floor(F.size("a") / 2) + 1).cast("int")).alias("m"))
     now = elements.select("elem_type", "elem_id").distinct().withColumn("t", F.col("elem_type")).withColumn("i", F.col("elem_id").cast("long"))
-    for _ in range(depth):
-        r = now.join(mid_rel, (F.col("t") == RELATION) & (F.col("i") == F.col("rel_id")), "left")
-        now = r.select("elem_type", "elem_id", F.when(F.col("m").isNotNull(), F.col("m.member_type")).otherwise(F.col("t")).cast("int").alias("t"), F.coalesce("m.member_id", "i").alias("i"))
-    w = now.join(mid_way, (F.col("t") == WAY) & (F.col("i") == F.col("way_id")), "left")
+    mid = table(mid_rel.select("rel_id", F.col("m.member_type").cast("int").alias("to_t"), F.col("m.member_id").alias("to_i")), "middles")
+    ends, hops = mid.where(F.col("to_t") != RELATION), mid.where(F.col("to_t") == RELATION).select("rel_id", F.col("to_i").alias("at"))
+    for _ in range(hops.count().bit_length()):  # pointers double their reach; what is left then goes in circles
+        further = hops.select(F.col("rel_id").alias("at"), F.col("at").alias("next"))
+        step = table(hops.join(ends.withColumnRenamed("rel_id", "at"), "at", "left").join(further, "at", "left"), "middles")
+        ends = ends.union(step.where("to_t IS NOT NULL").select("rel_id", "to_t", "to_i"))
+        hops = step.where("to_t IS NULL AND next IS NOT NULL").select("rel_id", F.col("next").alias("at"))
+    r = now.join(ends, (F.col("t") == RELATION) & (F.col("i") == F.col("rel_id")), "left")
+    done = r.select("elem_type", "elem_id", F.coalesce("to_t", "t").alias("t"), F.coalesce("to_i", "i").alias("i"))
+    w = done.join(mid_way, (F.col("t") == WAY) & (F.col("i") == F.col("way_id")), "left")
     return w.select("elem_type", "elem_id", F.when(F.col("t") == NODE, F.col("i")).otherwise(F.col("next")).alias("node_id")).where("node_id IS NOT NULL")
 
 
@@ -116,23 +126,69 @@ def closest_on_way(points: DataFrame, way_nodes: DataFrame, nodes: DataFrame) ->
 def closest_road_node(points: DataFrame, at_roads: DataFrame) -> DataFrame:
     """points: (key, px, py, road_type, number). The nearest node of the road; an unknown county looks in all of them.
 
-    Returns key, road_type, number, found_type, node_id, x, y, metres. Points of a road meet only that road's nodes.
+    Returns key, road_type, number, found_type, node_id, x, y, metres. A point meets its road's nodes in its own grid cell and
+    the eight around it; what is found there within the side of a cell is nearest. Points that find nothing so near try
+    larger cells, and only what is left then meets all nodes of its road.
     """
-    p = points.select("key", "px", "py", "road_type", "number").distinct()
+    p = table(points.select("key", "px", "py", "road_type", "number").distinct(), "points")
     r = at_roads.select(F.col("road_type").alias("found_type"), "number", "way_id", "pos", "node_id", "x", "y")
-    known = p.where(F.col("road_type") != REGIONAL).join(r, (p["number"] == r["number"]) & (p["road_type"] == r["found_type"])).drop(r["number"])
-    county = r.where(F.col("found_type") > 1)
-    any_ = p.where(F.col("road_type") == REGIONAL).join(county, p["number"] == county["number"]).drop(county["number"])
-    both = known.unionByName(any_).withColumn("d2", geo.squared_dm(F.col("px"), F.col("py"), F.col("x"), F.col("y")))
-    best = both.groupBy("key", "road_type", "number").agg(F.min(F.struct("d2", "found_type", "way_id", "pos", "node_id", "x", "y")).alias("m"))
+    r = table(r.join(p.select("number").distinct(), "number", "left_semi"), "road-nodes")
+    best = None
+    for bits in (*NEAR, None):
+        found = table(_nearest(p, r, bits), "near")
+        best = found if best is None else best.unionByName(found)
+        if bits is not None:
+            p = table(p.join(found, ["key", "px", "py", "road_type", "number"], "left_anti"), "points")
+            if p.isEmpty():
+                break
     return best.select("key", "road_type", "number", "m.found_type", "m.node_id", "m.x", "m.y", geo.metres_of_squared_dm(F.col("m.d2")).alias("metres"))
 
 
+def _nearest(p: DataFrame, r: DataFrame, bits: int | None) -> DataFrame:
+    """Points with the nearest node of their road, if it is no further than the side of a cell; without bits, however far."""
+    keys = ["number"]
+    if bits is not None:
+        cell = lambda c: F.shiftright(F.col(c).cast("long"), bits)
+        near = lambda c: F.explode(F.array(*(cell(c) + d for d in (-1, 0, 1))))
+        p = p.withColumn("cx", near("px")).withColumn("cy", near("py"))
+        r = r.withColumn("cx", cell("x")).withColumn("cy", cell("y"))
+        keys += ["cx", "cy"]
+    known = p.where(F.col("road_type") != REGIONAL).withColumn("found_type", F.col("road_type")).join(r, [*keys, "found_type"])
+    any_ = p.where(F.col("road_type") == REGIONAL).join(r.where(F.col("found_type") > 1), keys)
+    both = known.unionByName(any_).withColumn("d2", geo.squared_dm(F.col("px"), F.col("py"), F.col("x"), F.col("y")))
+    both = both.where(F.col("d2") <= 1 << (2 * bits)) if bits is not None else both
+    return both.groupBy("key", "px", "py", "road_type", "number").agg(F.min(F.struct("d2", "found_type", "way_id", "pos", "node_id", "x", "y")).alias("m"))
+
+
+def region_cells(rings: DataFrame, bits: int = CELL) -> DataFrame:
+    """(rel_id, cx, cy, edge): the grid cells that a region may reach into; edge: an edge's box touches the cell.
+
+    A cell that no edge touches lies in the region as a whole or not at all: its middle tells, and cells outside are left out.
+    """
+    cell = lambda c: F.shiftright(c.cast("long"), bits)
+    span = lambda a, b: F.explode(F.sequence(cell(F.least(a, b)), cell(F.greatest(a, b))))
+    ring = rings.select("rel_id", F.explode("rings").alias("ring"))
+    before = F.concat(F.slice("ring", -1, 1), F.slice("ring", F.lit(1), F.greatest(F.size("ring") - 1, F.lit(0))))
+    edge = ring.select("rel_id", F.explode(F.arrays_zip(F.col("ring").alias("a"), before.alias("b"))).alias("e")).select("rel_id", "e.a", "e.b")
+    touched = edge.withColumn("cx", span(F.col("a.x"), F.col("b.x"))).withColumn("cy", span(F.col("a.y"), F.col("b.y"))).select("rel_id", "cx", "cy").distinct()
+    every = rings.withColumn("cx", span(F.col("minx"), F.col("maxx"))).withColumn("cy", span(F.col("miny"), F.col("maxy")))
+    mid = lambda c: F.shiftleft(c, bits) + F.lit(1 << (bits - 1))
+    whole = every.join(touched, ["rel_id", "cx", "cy"], "left_anti").where(geo.in_rings(mid(F.col("cx")), mid(F.col("cy")), F.col("rings")))
+    return touched.withColumn("edge", F.lit(True)).unionByName(whole.select("rel_id", "cx", "cy", F.lit(False).alias("edge")))
+
+
 def regions_at(points: DataFrame, rings: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
-    """points with the rel_id of every region that holds them. Boxes are compared first; regions are a small dimension."""
+    """points with the rel_id of every region that holds them, and the other columns of rings.
+
+    Points and regions meet on grid cells; only points in cells that a region's edge touches are held against its rings.
+    """
     px, py = F.col(x), F.col(y)
-    box = px.between(F.col("minx"), F.col("maxx")) & py.between(F.col("miny"), F.col("maxy"))
-    return points.join(rings, box & geo.in_rings(px, py, F.col("rings"))).drop("minx", "miny", "maxx", "maxy", "rings")
+    cell = lambda c: F.shiftright(c.cast("long"), CELL)
+    at = points.withColumn("cx", cell(px)).withColumn("cy", cell(py)).join(region_cells(rings), ["cx", "cy"]).drop("cx", "cy")
+    rest = [c for c in rings.columns if c not in ("rel_id", "minx", "miny", "maxx", "maxy", "rings")]
+    sure = at.where("NOT edge").join(rings.select("rel_id", *rest), "rel_id")
+    near = at.where("edge").join(rings.select("rel_id", "rings", *rest), "rel_id").where(geo.in_rings(px, py, F.col("rings"))).drop("rings")
+    return sure.unionByName(near).drop("edge")
 
 
 def area_codes(points: DataFrame, rings: DataFrame, areas: DataFrame, county: bool | None = None, x: str = "x", y: str = "y") -> DataFrame:

@@ -51,9 +51,14 @@ class Read:
     hits: DataFrame
 
 
+def searchable(texts: DataFrame) -> DataFrame:
+    """Texts of more than three bytes; shorter ones, and null, are not searched."""
+    return texts.where(F.octet_length("text") > 3)
+
+
 def read(texts: DataFrame, m: Map, stop_words=P.STOP_WORDS, vague=P.VAGUE_WORDS, cache: bool = False) -> Read:
     """texts: (query_id, text). Texts of three bytes or fewer are not searched. cache: write words and spans once, for several uses."""
-    words = texts.where(F.octet_length("text") > 3).select("query_id", read_words(F.col("text"), stop_words).alias("words"))
+    words = searchable(texts).select("query_id", read_words(F.col("text"), stop_words).alias("words"))
     able = words.select("query_id", phrase_words(F.col("words")).alias("w")).withColumn("forms", F.transform("w", alternatives))
     # outer, and filtered behind: an inner explode would make the optimiser work the whole expression once more as a filter
     each = able.select("query_id", F.explode_outer(spans(F.col("w"), F.col("forms"), vague=vague)).alias("s")).where("s IS NOT NULL").select("query_id", "s.begin", "s.length", "s.phrase")
@@ -102,11 +107,17 @@ def locate(texts: DataFrame, m: Map, k: int | None = P.TOP_K, dedupe_metres: int
     best = ranking.ranked(found, k)
     coded = lookup.area_codes(best, m.region_rings, m.scb_areas, county=False).withColumnRenamed("code", "scb_code")
     out = coded.select("query_id", "rank", "strategy", "x", "y", geo.decode_lat(F.col("y")).alias("lat"), geo.decode_lon(F.col("x")).alias("lon"), "quality", "scb_code", "origin", "elements")
-    if areas is not None:
-        county = F.when(F.col("scb_code") > 100, F.floor(F.col("scb_code") / 100).cast("int"))
-        out = out.join(F.broadcast(areas.select(F.col("code").alias("scb_code"), F.col("name").alias("municipality"))), "scb_code", "left")  # a fixed list of a few hundred areas
-        out = out.withColumn("c", county).join(F.broadcast(areas.select(F.col("code").alias("c"), F.col("name").alias("county"))), "c", "left").drop("c")
-    return out
+    return out if areas is None else with_names(out, areas)
+
+
+def with_names(coded: DataFrame, areas: DataFrame) -> DataFrame:
+    """coded: (scb_code, ...) with the names of its municipality and, by the hundreds of the code, county; null if unknown.
+
+    areas: (code, name), a fixed list of a few hundred rows, so it is broadcast.
+    """
+    county = F.when(F.col("scb_code") > 100, F.floor(F.col("scb_code") / 100).cast("int"))
+    out = coded.join(F.broadcast(areas.select(F.col("code").alias("scb_code"), F.col("name").alias("municipality"))), "scb_code", "left")
+    return out.withColumn("c", county).join(F.broadcast(areas.select(F.col("code").alias("c"), F.col("name").alias("county"))), "c", "left").drop("c")
 
 
 def compare(found: DataFrame, expected: DataFrame) -> DataFrame:

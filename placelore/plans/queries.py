@@ -12,7 +12,7 @@ from placelore import params as P
 from placelore.functions import geo, roads, scoring, text
 from placelore.operators import ingest, lookup, polygons, ranking, render, strategies
 from placelore.plans import oracle as O
-from placelore.plans.locate import Map, locate, query_stats, read, results
+from placelore.plans.locate import Map, compare, locate, query_stats, read, results, searchable, with_names
 from placelore.schema import PLACES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -338,7 +338,7 @@ def e21(spark, d):
 def e22(spark, d):
     w = B.way_nodes(spark, d)
     e = w.select(F.lit(2).alias("elem_type"), F.col("way_id").alias("elem_id"))
-    return lookup.representative(e, w, lookup._no_members(w), depth=1).select("elem_id", "node_id")
+    return lookup.representative(e, w, lookup._no_members(w)).select("elem_id", "node_id")
 
 
 def _num(c: str, df: DataFrame) -> DataFrame:
@@ -422,6 +422,58 @@ def g04(spark, d):
     return e09(spark, d).select("query_id", "phrase", "road_type", "number", "metres", F.row_number().over(w).cast("long").alias("rank"))
 
 
+@query("g05_local_order", O.sql("SELECT query_id, phrase, elem_type, elem_id, metres, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN g_name IS NULL OR strpos(phrase, g_name) = 0 THEN 0 ELSE 1 END, strpos(phrase, g_name) DESC, metres, phrase, elem_type, elem_id) AS rank FROM local_matches"))
+def g05(spark, d):
+    return ranking.local_order(e13(spark, d)).select("query_id", "phrase", "elem_type", "elem_id", "metres", "rank")
+
+
+@query("g06_unique_order", O.sql("SELECT query_id, phrase, elem_type, elem_id, row_number() OVER (PARTITION BY query_id ORDER BY round(w * q, 9) DESC, phrase, elem_type, elem_id) AS rank FROM (SELECT *, " + O.type_quality("rwt") + f" AS w, CASE WHEN metres > {P.UNIQUE_SURE} THEN (4.5::DOUBLE - log10(metres::DOUBLE)) / 1.5::DOUBLE ELSE 1.0::DOUBLE END AS q FROM unique_matches)"))
+def g06(spark, d):
+    return ranking.unique_order(e14(spark, d)).select("query_id", "phrase", "elem_type", "elem_id", "rank")
+
+
+@query("g07_admin_order", O.sql("SELECT query_id, phrase, elem_type, elem_id, rel_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN strpos(phrase, norm_name) = 0 THEN 0 ELSE 1 END, strpos(phrase, norm_name) DESC, CASE WHEN rwt BETWEEN 105 AND 115 THEN 0 ELSE 1 END, len(string_split(phrase, ' ')) DESC, strlen(phrase) DESC, phrase, elem_type, elem_id, rel_id) AS rank FROM admin_matches"))
+def g07(spark, d):
+    return ranking.admin_order(e11(spark, d)).select("query_id", "phrase", "elem_type", "elem_id", "rel_id", "rank")
+
+
+@query("g08_places_order", O.sql("SELECT query_id, elem_type, elem_id, rwt, row_number() OVER (PARTITION BY query_id ORDER BY rwt, elem_type, elem_id) AS rank FROM (SELECT DISTINCT query_id, elem_type, elem_id, rwt FROM hits WHERE rwt IN (" + ", ".join(map(str, PLACES)) + "))"))
+def g08(spark, d):
+    return ranking.places_order(read(B.texts(spark, d), the_map(spark, d)).hits.where(F.col("rwt").isin(*PLACES)))
+
+
+@query("g08_regions_order", O.sql("SELECT query_id, rel_id, admin_level, row_number() OVER (PARTITION BY query_id ORDER BY admin_level DESC, rel_id) AS rank FROM regions"))
+def g08r(spark, d):
+    return ranking.regions_order(e16(spark, d)).select("query_id", "rel_id", "admin_level", "rank")
+
+
+@query("a10_cases_compared", O.sql("SELECT query_id, min(" + O.lat_lon("r.x", "r.y", "e.x", "e.y") + ")::BIGINT AS metres FROM ranked r JOIN (SELECT c_custkey AS query_id, x, y FROM customer JOIN nodes ON node_id = c_custkey * 13 % (SELECT count(*) FROM part) + 1) e USING (query_id) GROUP BY query_id"))
+def a10(spark, d):
+    return compare(locate(B.texts(spark, d), the_map(spark, d).stored()), B.expected(spark, d))
+
+
+@query("a14_searchable", "SELECT doc_id, strlen(coalesce(text, '')) > 3 AS searched FROM documents")
+def a14(spark, d):
+    asked = searchable(docs(spark, d).withColumnRenamed("doc_id", "query_id")).select(F.col("query_id").alias("doc_id"), F.lit(True).alias("searched"))
+    return docs(spark, d).select("doc_id").join(asked, "doc_id", "left").withColumn("searched", F.coalesce("searched", F.lit(False)))
+
+
+@query("a18_area_names", O.sql("SELECT node_id, coalesce(code, -1) AS scb_code, n.n_name AS municipality, CASE WHEN code > 100 THEN r.r_name END AS county FROM nodes LEFT JOIN (SELECT node_id, min(code) AS code FROM held JOIN scb_areas USING (rel_id) WHERE code >= 100 GROUP BY node_id) USING (node_id) LEFT JOIN nation n ON code = 101 + n_nationkey LEFT JOIN region r ON code // 100 = r_regionkey + 1", _HELD))
+def a18(spark, d):
+    at = lookup.area_codes(B.nodes(spark, d), B.region_rings(spark, d), B.scb_areas(spark, d), county=False).withColumnRenamed("code", "scb_code")
+    return with_names(at, B.area_names(spark, d)).select("node_id", "scb_code", "municipality", "county")
+
+
+@query("c12_skipped_ids", O.sql("SELECT way_id FROM way_nodes WHERE way_id NOT IN (2, 3, 5, 8, 13) GROUP BY way_id"))
+def c12(spark, d):
+    return ingest.without(B.way_nodes(spark, d), "way_id", (2, 3, 5, 8, 13)).select("way_id").distinct()
+
+
+@query("e03_uses", O.sql("SELECT node_id, count(DISTINCT way_id) AS uses FROM way_nodes GROUP BY node_id"))
+def e03_uses(spark, d):
+    return lookup.counter(B.way_nodes(spark, d))
+
+
 @query("g09_ranked", O.sql("SELECT query_id, rank, strategy, x, y, round(quality, 6) AS quality FROM ranked"))
 def g09(spark, d):
     r = ranking.ranked(ranking.dedupe(results(B.texts(spark, d), the_map(spark, d).stored())))
@@ -591,17 +643,17 @@ def h08(spark, d):
 
 @query("b01_json")
 def b01(spark, d):
-    return render.as_json(locate(B.texts(spark, d), the_map(spark, d).stored()))
+    return render.as_json(locate(B.texts(spark, d), the_map(spark, d).stored(), areas=B.area_names(spark, d)))
 
 
 @query("b02_xml")
 def b02(spark, d):
-    return render.as_xml(locate(B.texts(spark, d), the_map(spark, d).stored()))
+    return render.as_xml(locate(B.texts(spark, d), the_map(spark, d).stored(), areas=B.area_names(spark, d)))
 
 
 @query("b03_html")
 def b03(spark, d):
-    return render.as_html(locate(B.texts(spark, d), the_map(spark, d).stored()))
+    return render.as_html(locate(B.texts(spark, d), the_map(spark, d).stored(), areas=B.area_names(spark, d)))
 
 
 @query("b05_svg")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +22,8 @@ def scratch_dir(spark: SparkSession) -> str:
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
     own = tempfile.mkdtemp(prefix="placelore-")
     spark.sparkContext.setCheckpointDir(own)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
@@ -33,14 +37,36 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+def _drop_all(held: list[tuple[SparkSession, str]]) -> None:
+    while held:
+        _drop(*held.pop())
+
+
+#: Tables to remove, by scope; those of the first are removed when the driver exits.
+_scopes: ContextVar[tuple[list, ...]] = ContextVar("scopes", default=([],))
+atexit.register(_drop_all, _scopes.get()[0])
+
+
+@contextmanager
+def scope():
+    """Tables that are written inside are removed at its end: for loops and streams, whose results have been stored by then."""
+    held: list[tuple[SparkSession, str]] = []
+    token = _scopes.set((*_scopes.get(), held))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        _drop_all(held)
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes df as a Parquet table to the shared scratch folder and reads it back.
 
-    The table survives the loss of any executor. It is removed when the driver exits.
+    The table survives the loss of any executor. It is removed at the end of the scope, or when the driver exits.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    atexit.register(_drop, spark, path)
+    _scopes.get()[-1].append((spark, path))
     return spark.read.schema(schema).parquet(path)

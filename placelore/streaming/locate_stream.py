@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from placelore.plans.locate import Map, locate
+from placelore.scratch import scope
 
 TEXTS = "query_id long, text string"
 
@@ -21,8 +22,14 @@ def locate_stream(texts: DataFrame, m: Map, sink: Callable[[DataFrame, int], Non
     """Locates each batch of texts and hands the results to sink(results, batch_id).
 
     Ranking and dedupe are per text, so a text's results never wait for another batch and no state is kept. A batch that is
-    run again after a failure gives the same rows; a sink that overwrites by batch_id is exactly-once.
+    run again after a failure gives the same rows; a sink that overwrites by batch_id is exactly-once. The map is stored once,
+    before the first batch.
     """
-    batch = lambda rows, i: sink(locate(rows, m, k=k), i)
+
+    def batch(rows: DataFrame, i: int) -> None:
+        with scope():  # what a batch writes to the scratch folder goes when its sink is done
+            sink(locate(rows, held, k=k), i)
+
+    held = m.stored()
     out = texts.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (out.trigger(availableNow=True) if once else out).start()

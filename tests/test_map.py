@@ -150,7 +150,7 @@ def test_offsets_move_members_too(spark, raw):
 
 def test_representative_and_counter(the_map):
     e = the_map.way_nodes.select(F.lit(2).alias("elem_type"), F.col("way_id").alias("elem_id"))
-    got = {r["elem_id"]: r["node_id"] for r in lookup.representative(e, the_map.way_nodes, the_map.relation_members, depth=1).collect()}
+    got = {r["elem_id"]: r["node_id"] for r in lookup.representative(e, the_map.way_nodes, the_map.relation_members).collect()}
     assert got[110] == 21 and got[100] == 6
     assert {r["node_id"]: r["uses"] for r in lookup.counter(the_map.way_nodes).collect()}[5] == 2
 
@@ -161,3 +161,81 @@ def test_members_of_deeply_nested_relations(spark):
     m = spark.createDataFrame(rows, "rel_id long, pos int, member_type int, member_id long, role_flags int")
     got = {tuple(r) for r in lookup.flat_members(m).collect()}
     assert got == {(i, 1, 100 + j) for i in range(1, 13) for j in range(min(i, 3), 13)}
+
+
+def test_representative_of_nested_relations(spark):
+    """Middle members are followed to any depth; relations that lead back to themselves have no node."""
+    members = [(i, 1, 3, i + 1) for i in range(100, 140)] + [(140, 1, 1, 7), (200, 1, 3, 201), (201, 1, 3, 200), (300, 1, 2, 5), (301, 1, 3, 999)]
+    m = spark.createDataFrame(members, "rel_id long, pos int, member_type int, member_id long")
+    w = spark.createDataFrame([(5, 1, 70), (5, 2, 71), (5, 3, 72)], "way_id long, pos int, node_id long")
+    e = spark.createDataFrame([(3, 100), (3, 139), (3, 200), (3, 300), (3, 301), (1, 4), (2, 5)], "elem_type int, elem_id long")
+    got = {(r["elem_type"], r["elem_id"]): r["node_id"] for r in lookup.representative(e, w, m).collect()}
+    assert got == {(3, 100): 7, (3, 139): 7, (3, 300): 71, (1, 4): 4, (2, 5): 71}
+
+
+def test_regions_and_roads_by_grid_cells(spark):
+    """Cells against plain Python, on a ring with a hole and a notch and on roads near and far; no join without equality."""
+    import random
+
+    rng = random.Random(4)
+    c = 1 << lookup.CELL
+    outer = [(0, 0), (9 * c, 0), (9 * c, 7 * c + 5), (5 * c, 3 * c), (0, 7 * c)]
+    hole = [(c, c), (2 * c + 9, c), (2 * c, 2 * c)]
+    ring = lambda r: [dict(x=x, y=y) for x, y in r]
+    rings = spark.createDataFrame([(1, 0, 0, 9 * c, 7 * c + 5, [ring(outer), ring(hole)], "a")], "rel_id long, minx long, miny long, maxx long, maxy long, rings array<array<struct<x:long,y:long>>>, name string")
+    points = [(rng.randrange(-c, 10 * c), rng.randrange(-c, 8 * c)) for _ in range(2000)] + outer + hole
+    df = spark.createDataFrame(points, "x int, y int").distinct()
+    want = {(r["x"], r["y"]) for r in df.crossJoin(rings).where(geo.in_rings(F.col("x"), F.col("y"), F.col("rings"))).collect()}
+    at = lookup.regions_at(df, rings)
+    got = [(r["x"], r["y"]) for r in at.where("name = 'a'").collect()]
+    assert set(got) == want and len(got) == len(want) and 500 < len(want) < 1900
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = lookup.regions_at(df, rings)._jdf.queryExecution().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+    roads = [(rng.choice((1, 2, 23)), rng.randrange(1, 4), i, 1, i, rng.randrange(1, 30_000_000), rng.randrange(1, 15_000_000)) for i in range(300)]
+    asked = [(i, rng.randrange(1, 30_000_000), rng.randrange(1, 15_000_000), rng.choice((1, 2, 23)), rng.randrange(1, 5)) for i in range(200)]
+    asked += [(1000 + i, r[5] + rng.randrange(-9, 9), r[6], r[0], r[1]) for i, r in enumerate(roads[:50])]
+    found = lookup.closest_road_node(
+        spark.createDataFrame(asked, "key long, px int, py int, road_type int, number int"),
+        spark.createDataFrame(roads, "road_type int, number int, way_id long, pos int, node_id long, x int, y int"),
+    )
+    near = {}
+    for k, px, py, t, n in asked:
+        able = [((r[5] - px) ** 2 + (r[6] - py) ** 2, r[0], r[2], r[4]) for r in roads if r[1] == n and (r[0] == t if t != 23 else r[0] > 1)]
+        if able:
+            near[k] = min(able)[3]
+    assert {r["key"]: r["node_id"] for r in found.collect()} == near
+
+
+def test_names_that_end_in_s():
+    from placelore import params as P
+
+    assert len(P.S_STEMS) == len(set(P.S_STEMS)) == 21 and len(P.VAGUE_WORDS) == len(set(P.VAGUE_WORDS))
+    assert (len(P.SKIP_RELATIONS), len(P.SKIP_WAYS), len(P.SKIP_ADMIN)) == (6, 114, 23)
+
+
+def test_admin_names_and_comment_lines(spark):
+    from placelore.functions import text
+
+    names = ["Alingsås kommun", "Strängnäs kommun", "Uppsala kommun", "Stockholms län", "Borås kommun"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert [r[0] for r in df.select(text.admin_name(text.normalise(F.col("n")))).collect()] == ["alingsås", "strängnäs", "uppsala", "stockholm", "borås"]
+    said = spark.createDataFrame([("Ett\n#två\n°#tre\nfyra fyra\r#fem\n#\n\nA→B",)], "t string")
+    assert said.select(text.read_words(F.col("t"), stop_words=())).first()[0] == ["ett", "tre", "fyra", "fyra", "fem", "a-b"]
+    assert said.select(text.read_words(F.col("t"), stop_words=(), unique=True)).first()[0] == ["ett", "tre", "fyra", "fem", "a-b"]
+
+
+def test_tables_of_a_scope_are_removed_at_its_end(spark):
+    import os
+
+    from placelore.scratch import scope, scratch_dir, table
+
+    folder = scratch_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    for _ in range(3):
+        with scope():
+            assert table(spark.range(3), "inner").count() == 3
+    assert (set(os.listdir(folder)) if os.path.isdir(folder) else set()) == before
