@@ -440,7 +440,8 @@ def streamed(win: Windows, match: Callable, raw, h, did, off, size) -> tuple[np.
 
     The phrases of an anchor are ranked by document. In round j those with bit j of the rank set are streamed over an index
     of their siblings with bit j clear and the same higher bits: every smaller rank is met in exactly one round. All rounds
-    share one index; a block of it belongs to one anchor and one round.
+    share one index; a block of it belongs to one round and one value of the higher bits. Phrases of different anchors share
+    blocks: a window has one anchor wherever it stands, so they hold no window in common.
     """
     group_new = np.r_[True, h[1:] != h[:-1]]
     doc_new = group_new | np.r_[True, did[1:] != did[:-1]]
@@ -455,8 +456,7 @@ def streamed(win: Windows, match: Callable, raw, h, did, off, size) -> tuple[np.
     while (top >> j).any():
         part = (top >> j) > 0
         sibling = ((rank >> j) | 1) << j <= top
-        _, block = np.unique(group * (int(top.max()) + 2) + (rank >> (j + 1)), return_inverse=True)
-        block += blocks
+        block = blocks + (rank >> (j + 1))
         blocks = int(block.max()) + 1
         low = np.flatnonzero(part & ((rank >> j) & 1 == 0) & sibling)
         high = np.flatnonzero(part & ((rank >> j) & 1 == 1))

@@ -11,16 +11,27 @@ from placelore.llm.arrays import mix, prefix, span
 def suffix_array(sym: np.ndarray) -> np.ndarray:
     """By prefix doubling; sym must end all suffixes differently (unique separators do)."""
     n = len(sym)
-    wide = int(sym.max(initial=0)) + 2
-    h = 1
-    if wide <= 1 << 31:  # two symbols at once
-        sym, h = sym * wide + np.r_[sym[1:] + 1, 0][:n], 2
-    rank = np.unique(sym, return_inverse=True)[1].astype(np.int64)
-    while n and rank.max() < n - 1:
+    if not n:
+        return np.zeros(0, np.int64)
+    low = int(sym.min())
+    wide = int(sym.max()) - low + 2
+    key, h = sym.astype(np.int64) - low + 1, 1
+    while wide**2 < 1 << 62:  # as many symbols at once as a key holds
+        key, wide, h = key * wide + np.r_[key[h:], np.zeros(min(h, n), np.int64)], wide**2, 2 * h
+    rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
+    bits = n.bit_length()
+    while int(rank.max()) < n - 1:
         ahead = np.zeros(n, np.int64)
         if h < n:
             ahead[:-h] = rank[h:] + 1
-        rank = np.unique(rank * (n + 1) + ahead, return_inverse=True)[1]
+        if 3 * bits < 63:  # rank, rank ahead and place in one number: a plain sort orders them
+            both = np.sort((((rank << bits) | ahead) << bits) | np.arange(n))
+            place = both & ((1 << bits) - 1)
+            both >>= bits
+            rank = np.empty(n, np.int64)
+            rank[place] = np.cumsum(np.r_[False, both[1:] != both[:-1]])
+        else:
+            rank = np.unique(rank * (n + 1) + ahead, return_inverse=True)[1]
         h *= 2
     out = np.empty(n, np.int64)
     out[rank] = np.arange(n)
@@ -28,7 +39,10 @@ def suffix_array(sym: np.ndarray) -> np.ndarray:
 
 
 class RunIndex:
-    """Holds runs only: head symbol, begin, where the run's first symbol goes (LF), and the text positions of both ends."""
+    """Holds runs: head symbol, begin, where the run's first symbol goes (LF), and the text positions of both ends.
+
+    Beside them stand prefix hashes of the text, eight bytes a symbol, which compare two places of it; a block is bounded.
+    """
 
     def __init__(self, sym: np.ndarray):
         n = len(sym)
@@ -105,7 +119,7 @@ class RunIndex:
 def match(W: int, raw, off, lens, block, off2, lens2, block2) -> np.ndarray:
     """Streams the patterns of bytes (off2, lens2) over a run index of the phrases (off, lens). True for each window that matches.
 
-    A byte of raw is coded with its block, so that phrases meet only those of their own anchor and round.
+    A byte of raw is coded with its block, so that phrases meet only those of their own round.
     """
     place = raw[ranges(off, lens)].astype(np.int64)
     pattern = raw[ranges(off2, lens2)].astype(np.int64)
