@@ -656,6 +656,21 @@ def b03(spark, d):
     return render.as_html(locate(B.texts(spark, d), the_map(spark, d).stored(), areas=B.area_names(spark, d)))
 
 
-@query("b05_svg")
+_UNIT = "(({}) * 8000 // (SELECT max(maxx) - min(minx) FROM region_boxes))::VARCHAR"
+_SX, _SY = _UNIT.format("{0}x::BIGINT - (SELECT min(minx) FROM region_boxes)"), _UNIT.format("(SELECT max(maxy) FROM region_boxes) - {0}y")
+_AT = lambda p="": (_SX.format(p), _SY.format(p))
+_SVG = f"""SELECT 0 AS z, '<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 8000 ' || {_UNIT.format('(SELECT max(maxy) - min(miny) FROM region_boxes)')} || '">' AS line
+UNION ALL SELECT 1, '<path fill="none" stroke="#888" d="M' || string_agg({_AT()[0]} || ',' || {_AT()[1]}, 'L' ORDER BY pos) || 'Z"/>' FROM region_edges GROUP BY rel_id
+UNION ALL SELECT 2, '<path fill="none" stroke="#35c" d="M' || string_agg({_AT('n.')[0]} || ',' || {_AT('n.')[1]}, 'L' ORDER BY pos, x, y) || '"/>' FROM way_nodes JOIN nodes n USING (node_id) WHERE way_id % 97 = 1 GROUP BY way_id
+UNION ALL SELECT 3, '<circle r="30" fill="#c00" cx="' || {_AT()[0]} || '" cy="' || {_AT()[1]} || '"/>' FROM nodes
+UNION ALL SELECT 4, '<text font-size="120" x="' || {_AT('n.')[0]} || '" y="' || {_AT('n.')[1]} || '">' || replace(replace(replace(name, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</text>' FROM nodes n JOIN node_names ON node_id = elem_id WHERE rwt = 105
+UNION ALL SELECT 5, '</svg>'"""
+
+
+@query("b05_svg", O.sql(_SVG))
 def b05(spark, d):
-    return render.as_svg(B.region_rings(spark, d), B.nodes(spark, d))
+    """The map with its towns named and, as a drawing does, some of its roads."""
+    n = B.nodes(spark, d)
+    roads = B.way_nodes(spark, d).where("way_id % 97 = 1").join(n, "node_id").select("way_id", "pos", "x", "y")
+    towns = B.node_names(spark, d).where("rwt = 105").join(n, F.col("elem_id") == F.col("node_id")).select("x", "y", F.col("name").alias("caption"))
+    return render.as_svg(B.region_rings(spark, d), n, roads, towns)

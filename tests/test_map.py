@@ -101,7 +101,7 @@ def test_locate_finds_the_places(spark, the_map):
     assert all(r["metres"] < 1500 for r in compare(locate(texts, the_map), want).collect())
 
 
-def test_documents(spark, the_map):
+def test_documents(spark, the_map, tmp_path):
     texts = spark.createDataFrame([(1, "Lillby & Ekstad")], "query_id long, text string")
     found = locate(texts, the_map)
     doc = json.loads(render.as_json(found).first()["document"])
@@ -109,7 +109,22 @@ def test_documents(spark, the_map):
     xml = render.as_xml(found).first()["document"]
     assert xml.count("<result>") == len(doc["results"])
     assert render.as_html(found).first()["document"].count("<li>") == len(doc["results"])
-    assert "<circle" in render.as_svg(the_map.region_rings, found.select("x", "y")).first()["document"]
+    elements = [e for r in doc["results"] for e in r["origin"]["elements"]]
+    assert elements and all(e.split("/")[0] in render.KINDS and e.split("/")[1].isdigit() for e in elements)
+    assert xml.count("<element>") == len(elements) and xml.count("</elements>") == len(doc["results"])
+    html = render.as_html(found).first()["document"]
+    assert html.count("<img") == 9 * len(doc["results"]) and all(f"{render.ELEMENT}{e}" in html for e in elements)
+    roads = the_map.way_nodes.join(the_map.nodes, "node_id").select("way_id", "pos", "x", "y")
+    drawing = render.as_svg(the_map.region_rings, found.select("x", "y"), roads, found.select("x", "y", F.lit("A & B").alias("caption")))
+    render.write_svg(drawing, str(tmp_path / "map"), compress=True)
+    import glob
+    import gzip
+    import xml.etree.ElementTree as tree
+
+    (file,) = glob.glob(str(tmp_path / "map" / "*.gz"))
+    shapes = [e.tag.rsplit("}", 1)[1] for e in tree.fromstring(gzip.open(file, "rt", encoding="utf-8").read())]
+    n = len(doc["results"])
+    assert shapes == ["path"] * shapes.count("path") + ["circle"] * n + ["text"] * n and "path" in shapes
 
 
 def test_files(spark, tmp_path, the_map):
