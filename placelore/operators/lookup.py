@@ -12,6 +12,8 @@ from placelore.scratch import table
 
 #: Grid cells in which regions are looked up, and those in which the nearest road node is, finer ones first: bits of a side.
 CELL, NEAR = 16, (17, 20)
+#: Nodes of the roads of a number from which points look for the nearest by cells. Changes the work, never the result.
+MANY = 4096
 
 
 def name_index(names: DataFrame) -> DataFrame:
@@ -126,21 +128,26 @@ def closest_on_way(points: DataFrame, way_nodes: DataFrame, nodes: DataFrame) ->
 def closest_road_node(points: DataFrame, at_roads: DataFrame) -> DataFrame:
     """points: (key, px, py, road_type, number). The nearest node of the road; an unknown county looks in all of them.
 
-    Returns key, road_type, number, found_type, node_id, x, y, metres. A point meets its road's nodes in its own grid cell and
-    the eight around it; what is found there within the side of a cell is nearest. Points that find nothing so near try
-    larger cells, and only what is left then meets all nodes of its road.
+    Returns key, road_type, number, found_type, node_id, x, y, metres. A point meets all nodes of its road where the roads of
+    that number have few; else those in its own grid cell and the eight around it: what is found there within the side of a
+    cell is nearest. Points that find nothing so near try larger cells, and only what is left then meets all nodes.
     """
     p = table(points.select("key", "px", "py", "road_type", "number").distinct(), "points")
     r = at_roads.select(F.col("road_type").alias("found_type"), "number", "way_id", "pos", "node_id", "x", "y")
     r = table(r.join(p.select("number").distinct(), "number", "left_semi"), "road-nodes")
-    best = None
-    for bits in (*NEAR, None):
-        found = table(_nearest(p, r, bits), "near")
-        best = found if best is None else best.unionByName(found)
-        if bits is not None:
-            p = table(p.join(found, ["key", "px", "py", "road_type", "number"], "left_anti"), "points")
-            if p.isEmpty():
-                break
+    long = table(r.groupBy("number").count().where(F.col("count") > MANY).select("number"), "long-roads")
+    if long.isEmpty():
+        best = _nearest(p, r, None)
+    else:
+        best = _nearest(p.join(long, "number", "left_anti"), r, None)
+        p, r = p.join(long, "number", "left_semi"), r.join(long, "number", "left_semi")
+        for bits in (*NEAR, None):
+            found = table(_nearest(p, r, bits), "near")
+            best = best.unionByName(found)
+            if bits is not None:
+                p = table(p.join(found, ["key", "px", "py", "road_type", "number"], "left_anti"), "points")
+                if p.isEmpty():
+                    break
     return best.select("key", "road_type", "number", "m.found_type", "m.node_id", "m.x", "m.y", geo.metres_of_squared_dm(F.col("m.d2")).alias("metres"))
 
 
@@ -153,11 +160,17 @@ def _nearest(p: DataFrame, r: DataFrame, bits: int | None) -> DataFrame:
         p = p.withColumn("cx", near("px")).withColumn("cy", near("py"))
         r = r.withColumn("cx", cell("x")).withColumn("cy", cell("y"))
         keys += ["cx", "cy"]
-    known = p.where(F.col("road_type") != REGIONAL).withColumn("found_type", F.col("road_type")).join(r, [*keys, "found_type"])
-    any_ = p.where(F.col("road_type") == REGIONAL).join(r.where(F.col("found_type") > 1), keys)
-    both = known.unionByName(any_).withColumn("d2", geo.squared_dm(F.col("px"), F.col("py"), F.col("x"), F.col("y")))
-    both = both.where(F.col("d2") <= 1 << (2 * bits)) if bits is not None else both
-    return both.groupBy("key", "px", "py", "road_type", "number").agg(F.min(F.struct("d2", "found_type", "way_id", "pos", "node_id", "x", "y")).alias("m"))
+    def met(p: DataFrame) -> DataFrame:
+        known = p.where(F.col("road_type") != REGIONAL).withColumn("found_type", F.col("road_type")).join(r, [*keys, "found_type"])
+        any_ = p.where(F.col("road_type") == REGIONAL).join(r.where(F.col("found_type") > 1), keys)
+        both = known.unionByName(any_).withColumn("d2", geo.squared_dm(F.col("px"), F.col("py"), F.col("x"), F.col("y")))
+        return both.where(F.col("d2") <= 1 << (2 * bits)) if bits is not None else both
+
+    # first the distance alone, a plain number that is hashed as it comes; then the rows at that distance, which are few
+    point = ["key", "px", "py", "road_type", "number"]
+    least = table(met(p).groupBy(*point).agg(F.min("d2").alias("least")), "least")
+    first = met(p.join(least, point)).where("d2 = least")
+    return first.groupBy(*point).agg(F.min(F.struct("d2", "found_type", "way_id", "pos", "node_id", "x", "y")).alias("m"))
 
 
 def region_cells(rings: DataFrame, bits: int = CELL) -> DataFrame:

@@ -188,7 +188,7 @@ def test_representative_of_nested_relations(spark):
     assert got == {(3, 100): 7, (3, 139): 7, (3, 300): 71, (1, 4): 4, (2, 5): 71}
 
 
-def test_regions_and_roads_by_grid_cells(spark):
+def test_regions_and_roads_by_grid_cells(spark, monkeypatch):
     """Cells against plain Python, on a ring with a hole and a notch and on roads near and far; no join without equality."""
     import random
 
@@ -213,16 +213,16 @@ def test_regions_and_roads_by_grid_cells(spark):
     roads = [(rng.choice((1, 2, 23)), rng.randrange(1, 4), i, 1, i, rng.randrange(1, 30_000_000), rng.randrange(1, 15_000_000)) for i in range(300)]
     asked = [(i, rng.randrange(1, 30_000_000), rng.randrange(1, 15_000_000), rng.choice((1, 2, 23)), rng.randrange(1, 5)) for i in range(200)]
     asked += [(1000 + i, r[5] + rng.randrange(-9, 9), r[6], r[0], r[1]) for i, r in enumerate(roads[:50])]
-    found = lookup.closest_road_node(
-        spark.createDataFrame(asked, "key long, px int, py int, road_type int, number int"),
-        spark.createDataFrame(roads, "road_type int, number int, way_id long, pos int, node_id long, x int, y int"),
-    )
+    ask = spark.createDataFrame(asked, "key long, px int, py int, road_type int, number int")
+    on = spark.createDataFrame(roads, "road_type int, number int, way_id long, pos int, node_id long, x int, y int")
     near = {}
     for k, px, py, t, n in asked:
         able = [((r[5] - px) ** 2 + (r[6] - py) ** 2, r[0], r[2], r[4]) for r in roads if r[1] == n and (r[0] == t if t != 23 else r[0] > 1)]
         if able:
             near[k] = min(able)[3]
-    assert {r["key"]: r["node_id"] for r in found.collect()} == near
+    for many in (4096, 100, 0):  # no road, some, all by cells
+        monkeypatch.setattr(lookup, "MANY", many)
+        assert {r["key"]: r["node_id"] for r in lookup.closest_road_node(ask, on).collect()} == near
 
 
 def test_names_that_end_in_s():
