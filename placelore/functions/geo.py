@@ -65,8 +65,11 @@ def distance_lat_lon(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return F.when((x1 == x2) & (y1 == y2), F.lit(0)).otherwise(F.floor(d + 0.5)).cast("long")
 
 
-def in_rings(x: Column, y: Column, rings: Column) -> Column:
-    """Even-odd test: is the point inside an odd ring? Rings: array of arrays of (x, y). Holes count as inside."""
+def in_rings(x: Column, y: Column, rings: Column, holes: bool = False) -> Column:
+    """Even-odd test: is the point inside a ring? Rings: array of arrays of (x, y).
+
+    Holes count as inside; with holes they do not: then a point is inside if an odd number of rings holds it.
+    """
     px, py = x.cast("long"), y.cast("long")
 
     def odd(ring: Column) -> Column:
@@ -77,7 +80,7 @@ def in_rings(x: Column, y: Column, rings: Column) -> Column:
         edge = lambda a, b: crosses(a, b) & (px < a["x"] + _div(meet(a, b), b["y"] - a["y"]))
         return F.size(F.filter(F.zip_with(ring, before, edge), lambda hit: hit)) % 2 == 1
 
-    return F.exists(rings, odd)
+    return F.size(F.filter(rings, odd)) % 2 == 1 if holes else F.exists(rings, odd)
 
 
 def _div(a: Column, b: Column) -> Column:

@@ -64,11 +64,6 @@ def tokens(text: Column) -> Column:
     return split_words(plain(text))
 
 
-def lines(text: Column) -> Column:
-    """Lines that are neither empty nor comments."""
-    return F.filter(F.split(text, "\\n"), lambda s: (s != "") & ~s.startswith("#"))
-
-
 def read_words(text: Column, stop_words: tuple[str, ...] = P.STOP_WORDS, unique: bool = False) -> Column:
     """Words of all lines in order, without stop words and lone punctuation; unique: once for each line.
 

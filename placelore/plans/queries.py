@@ -319,6 +319,14 @@ def e20(spark, d):
     return lookup.ways_of_road(B.road_ways(spark, d), 2, 1)
 
 
+@query("f02_holes", O.sql("SELECT node_id FROM held GROUP BY node_id HAVING count(*) % 2 = 1", _HELD))
+def f02_holes(spark, d):
+    """All regions as rings of one polygon: where they overlap an even number of times there is a hole."""
+    one = B.region_rings(spark, d).agg(F.flatten(F.collect_list("rings")).alias("all"))  # thirty rings
+    at = B.nodes(spark, d).crossJoin(F.broadcast(one))  # a single row
+    return at.where(geo.in_rings(F.col("x"), F.col("y"), F.col("all"), holes=True)).select("node_id")
+
+
 _ROADS23 = "SELECT CASE WHEN way_id % 3 = 0 THEN 23 ELSE road_type END AS road_type, number, way_id FROM road_ways"
 _MID = {
     "roads23": _ROADS23,
