@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
 from placelore.llm.anchors import slices, texts_of
 from placelore.llm.arrays import BASE, BYTE, U, groups, mix, prefix, span
@@ -32,6 +32,10 @@ SPACE, MARK, BREAK = b" ", "▁".encode(), b"\xff"
 NONE, ROOT, BARRIER = -1, -2, -3
 #: Chunks longer than this are worked one by one.
 LONG = 512
+#: Pairs of tokens that a worker remembers, at nine bytes each.
+KNOWN = 1 << 22
+#: Prefixes in a row of prefix_counts.
+BLOCK = 1 << 16
 
 
 def default_model() -> str:
@@ -119,6 +123,9 @@ class Counter:
         if len(new):
             texts = [(self.pieces[k // len(self.size)] + self.pieces[k % len(self.size)]).decode() for k in new.tolist()]
             fits = np.array([x == [k // len(self.size), k % len(self.size)] for x, k in zip(self.plain.encode(texts, num_threads=1), new.tolist(), strict=True)])
+            if len(self.known) > KNOWN:  # a cache only: it starts anew
+                self.known, self.fits = np.zeros(0, np.int64), np.zeros(0, bool)
+                return self.beside(a, b)
             place = np.searchsorted(self.known, new)
             self.known, self.fits = np.insert(self.known, place, new), np.insert(self.fits, place, fits)
             at = np.searchsorted(self.known, key)
@@ -202,51 +209,90 @@ class Counter:
         end = np.r_[edges, len(data)][np.searchsorted(edges, begin, side="right")]
         return data, begin, end, np.cumsum(stop)[begin] - 1
 
-    def totals(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Tokens of each chunk: the last entry of its prefix counts."""
-        out = np.ones(len(begin), np.int64)
+    def tables(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(flat, at): the prefix counts of chunk c, after 0, 1, ... bytes, are flat[at[c] : at[c + 1]]."""
         lens = end - begin
+        at = np.r_[0, np.cumsum(lens + 1)]
+        flat = np.empty(at[-1], np.int32)
         big = np.flatnonzero(lens > LONG)
         for c in big:
-            out[c] = self.long(data[begin[c] : end[c]].tobytes())[-1]
+            flat[at[c] : at[c + 1]] = self.long(data[begin[c] : end[c]].tobytes())
         order = np.argsort(lens, kind="stable")[: len(lens) - len(big)]
-        at = 0
-        while at < len(order):
-            few = max(1, min(1 << 16, (1 << 21) // max(1, int(lens[order[min(len(order) - 1, at + (1 << 14))]]))))
-            some = order[at : at + few]
-            at += few
+        done = 0
+        while done < len(order):
+            few = max(1, min(1 << 16, (1 << 21) // max(1, int(lens[order[min(len(order) - 1, done + (1 << 14))]]))))
+            some = order[done : done + few]
+            done += few
             count = self.table(data, begin[some], lens[some])
-            out[some] = count[lens[some], np.arange(len(some))]
-        return out
+            for i in range(len(count)):
+                live = some[lens[some] >= i]
+                flat[at[live] + i] = count[i, len(some) - len(live) :]
+        return flat, at
 
-    def count(self, texts: list[bytes], limit: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens of each text, and the bytes of its longest prefix of at most limit tokens."""
+    def prefixes(self, texts: list[bytes]) -> Prefixes:
+        """The exact count at every prefix of each text: the counts of a distinct chunk are worked and kept once."""
         data, begin, end, of = self.chunks(texts)
-        n = len(texts)
         if not len(begin):
-            return np.zeros(n, np.int64), np.zeros(n, np.int64)
+            none = np.zeros(0, np.int64)
+            return Prefixes(texts, none, none, none, none, none, np.zeros(len(texts) + 1, np.int64))
         key = mix(span(prefix(BYTE[data]), begin, end) + (end - begin).astype(U) * U(BASE))
         _, first, same = np.unique(key, return_index=True, return_inverse=True)
-        each = self.totals(data, begin[first], end[first])[same]
-        total = np.bincount(of, weights=each, minlength=n).astype(np.int64)
-        fit = np.array([len(t) for t in texts], np.int64)
+        flat, at = self.tables(data, begin[first], end[first])
+        own = np.searchsorted(of, np.arange(len(texts) + 1))
+        return Prefixes(texts, flat, at[same], (end - begin).astype(np.int64), flat[at[1:] - 1].astype(np.int64)[same], begin, own)
+
+    def count(self, texts: list[bytes], limit: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of each text, and the bytes of its longest prefix of at most limit tokens."""
+        p = self.prefixes(texts)
+        total, fit = p.totals(), np.array([len(t) for t in texts], np.int64)
         for t in np.flatnonzero(total > limit) if limit is not None else ():
-            fit[t] = self.cut(texts[t], data, begin[of == t], end[of == t], each[of == t], limit)
+            fit[t] = p.fit(t, limit)
         return total, fit
 
-    def cut(self, text: bytes, data, begin, end, each, limit: int) -> int:
-        """Bytes of text's longest prefix that encodes into at most limit tokens; the prefix counts tell."""
-        have = np.cumsum(each)
+
+class Prefixes:
+    """Prefix counts of some texts. Chunk c has lens[c] bytes from begin[c], total[c] tokens and its counts at flat[at[c]:]; text t has the chunks own[t] to own[t + 1]."""
+
+    def __init__(self, texts, flat, at, lens, total, begin, own):
+        self.texts, self.flat, self.at, self.lens, self.total, self.begin, self.own = texts, flat, at, lens, total, begin, own
+
+    def totals(self) -> np.ndarray:
+        have = np.r_[0, np.cumsum(self.total)].astype(np.int64)
+        return have[self.own[1:]] - have[self.own[:-1]]
+
+    def fit(self, t: int, limit: int) -> int:
+        """Bytes of text t's longest prefix of at most limit tokens, where the whole text has more."""
+        a, b = self.own[t], self.own[t + 1]
+        have = np.cumsum(self.total[a:b])
         c = int(np.searchsorted(have, limit, side="right"))
-        held = int(have[c - 1]) if c else 0
-        inner = np.array(self.long(data[begin[c] : end[c]].tobytes()))
+        held, at = int(have[c - 1]) if c else 0, self.at[a + c]
+        inner = self.flat[at : at + self.lens[a + c] + 1]
         fits = np.flatnonzero((inner >= 0) & (inner + held <= limit))
-        marked = int(begin[c] - begin[0] + (fits[-1] if len(fits) else 0))  # in bytes of the marked text
-        seen, real = 1, 0  # the added space is no byte of the text; a literal mark has three bytes there and one here
-        while seen < marked:
-            real += 3 if text.startswith(MARK, real) else 1
-            seen += 1
-        return real
+        marked = int(self.begin[a + c] - self.begin[a] + (fits[-1] if len(fits) else 0))  # in bytes of the marked text
+        return int(np.flatnonzero(self._whole(t))[max(0, marked - 1)])
+
+    def _whole(self, t: int) -> np.ndarray:
+        """Which prefixes of text t, by bytes, do not end in a literal mark: it has three bytes there and one in the marked text."""
+        text = self.texts[t]
+        whole = np.ones(len(text) + 1, bool)
+        at = text.find(MARK)
+        while at >= 0:
+            whole[at + 1 : at + len(MARK)] = False
+            at = text.find(MARK, at + len(MARK))
+        return whole
+
+    def counts(self, t: int) -> np.ndarray:
+        """Tokens of text t's prefixes of 0, 1, ... bytes; -1 inside a character."""
+        a, b = self.own[t], self.own[t + 1]
+        out = np.full(len(self.texts[t]) + 1, -1, np.int32)
+        if a < b:
+            lens = self.lens[a:b]
+            ends = np.cumsum(lens)
+            inner = self.flat[np.arange(ends[-1]) + np.repeat(self.at[a:b] + 1 - (ends - lens), lens)]
+            held = np.repeat(np.cumsum(self.total[a:b]) - self.total[a:b], lens)
+            out[self._whole(t)] = np.where(inner >= 0, inner + held, -1)
+        out[0] = 0  # the added space alone is no prefix
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -279,6 +325,48 @@ def token_counts(docs: DataFrame, limit: int = LIMIT, model: str | None = None,
     return keyed.mapInArrow(go, out)
 
 
+def prefix_counts(docs: DataFrame, model: str | None = None, text: str = "text") -> DataFrame:
+    """The exact token count of every prefix of every text, to be stored: budgets and truncations are answered from it.
+
+    Returns rows row (the other columns of docs), start and counts: counts[i] is the number of tokens of the text's first
+    start + i bytes, null where that ends inside a character. A row holds at most BLOCK prefixes, so none grows with its text.
+    A null or empty text has the one prefix of 0 bytes and 0 tokens. Repeated rows have repeated blocks. An empty table has
+    none. Other columns pass in row.
+    """
+    ship(docs.sparkSession)
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text)).alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("body"))
+    out = StructType([keyed.schema["row"], StructField("start", LongType()), StructField("counts", ArrayType(IntegerType()))])
+
+    def go(batches):
+        c = counter(model or default_model())
+        for batch in slices(batches, 4096):
+            texts = texts_of(batch, "body")
+            for i, j in groups(texts, 1 << 20):
+                p = c.prefixes(texts[i:j])
+                each = [(i + t, at, n[at : at + BLOCK]) for t, n in enumerate(map(p.counts, range(j - i))) for at in range(0, len(n), BLOCK)]
+                of, start, some = zip(*each, strict=True)
+                flat = np.concatenate(some)
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, some)]), pa.int32()), pa.array(flat, pa.int32(), mask=flat < 0))
+                yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(of)), pa.array(start, pa.int64()), lists], out.names)
+
+    return keyed.mapInArrow(go, out)
+
+
+def within(counted: DataFrame, key, budgets: list[int]) -> DataFrame:
+    """counted: prefix_counts. For each key and budget, the bytes of the longest prefix of at most so many tokens, and its tokens.
+
+    key: a column that tells the texts of counted apart, a null key being one. Nothing is encoded anew. Budgets below 0 have no row.
+    """
+    prefixes = F.transform("counts", lambda n, i: F.struct((F.col("start") + i).alias("fit_bytes"), n.alias("n_tokens")))
+
+    def longest(budget: int):
+        return F.try_element_at(F.filter(prefixes, lambda p: p["n_tokens"] <= budget), F.lit(-1))
+
+    best = [F.struct(F.lit(b).cast("long").alias("budget"), longest(b).alias("p")) for b in budgets]
+    some = counted.select(key.alias("key"), F.inline(F.array(*best))).where("p IS NOT NULL")
+    return some.groupBy("key", "budget").agg(F.max("p").alias("p")).select("key", "budget", "p.fit_bytes", "p.n_tokens")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_counts(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(F.col("row.doc_id").alias("doc_id"), "n_bytes", "n_tokens", "over_limit", "fit_bytes")

@@ -18,7 +18,7 @@ from placelore.llm.op3_suffix_dedup import remove_repeats
 from placelore.llm.op4_best_fit_packing import Plan, cut, pack, token_ids
 from placelore.llm.op5_ngram_jaccard import choose_bands, classes
 from placelore.llm.op6_token_counts import Counter as TokenCounter
-from placelore.llm.op6_token_counts import default_model, token_counts
+from placelore.llm.op6_token_counts import default_model, prefix_counts, token_counts, within
 from placelore.llm.op7_learned_partitions import search
 from placelore.llm.op8_quality_cascade import RULES, measure, order_rules, quality_cascade, verdict
 from placelore.llm.op9_substring_dedup import remove_repeated_passages
@@ -186,6 +186,42 @@ def test_every_prefix_has_its_count():
             assert n == len(sp.encode(chunk[1:i].decode()))
 
 
+def test_prefix_counts_answer_any_budget(spark, docs, empty, monkeypatch):
+    import sentencepiece
+
+    from placelore.llm import op6_token_counts as op6
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=default_model())
+    some = ["the  internationalisation,漢 of ▁▁ things🙂 \n<s>", "", None, "x" * 900, " ", "▁", "y" * 100_000, "a b " * 300]
+    rows = spark.createDataFrame([*enumerate(some), (3, some[3])], "doc_id long, text string")
+    counted = prefix_counts(rows)
+    got: dict = {}
+    for r in counted.where("row.doc_id <> 6").collect():
+        assert r["start"] == 0
+        got[r["row"]["doc_id"]] = r["counts"]
+    for i, t in enumerate(some):
+        if i != 6:
+            raw = (t or "").encode()
+            assert len(got[i]) == len(raw) + 1
+            for b, n in enumerate(got[i]):
+                inside = b < len(raw) and raw[b] & 0xC0 == 0x80
+                assert n == (None if inside else len(sp.encode(raw[:b].decode()))), (i, b)
+    blocks = counted.where("row.doc_id = 6").select("start", F.size("counts")).collect()
+    assert sorted(map(tuple, blocks)) == [(0, op6.BLOCK), (op6.BLOCK, 100_001 - op6.BLOCK)]
+    for r in within(counted, F.col("row.doc_id"), [-1, 0, 7, 50, 10**6]).collect():
+        prefixes = got.get(r["key"])
+        if prefixes is not None:
+            fits = [b for b, n in enumerate(prefixes) if n is not None and n <= r["budget"]]
+            assert (r["fit_bytes"], r["n_tokens"]) == (fits[-1], prefixes[fits[-1]])
+        assert r["budget"] >= 0
+    for r in token_counts(rows, limit=7).where("row.doc_id <> 6").collect():
+        assert r["fit_bytes"] == max(b for b, n in enumerate(got[r["row"]["doc_id"]]) if n is not None and n <= 7)
+    assert prefix_counts(empty).count() == 0 and within(prefix_counts(empty), F.col("row.doc_id"), [5]).count() == 0
+    monkeypatch.setattr(op6, "KNOWN", 50)
+    texts = ["the quick brown fox jumps over lazy dogs " * 3, "another of many sentences with other words"]
+    assert TokenCounter(default_model()).count([t.encode() for t in texts])[0].tolist() == [len(sp.encode(t)) for t in texts]
+
+
 def test_packing_round_trip(docs, texts, empty):
     from placelore.llm.op4_best_fit_packing import encoders
 
