@@ -12,7 +12,8 @@ from placelore import params as P
 from placelore.functions import geo, roads, scoring
 from placelore.functions.text import byte_position, normalise
 from placelore.operators import lookup
-from placelore.schema import LARGE, LARGE_AREA, MEDIUM, NODE, PLACES
+from placelore.schema import LARGE, LARGE_AREA, MEDIUM, NODE, PLACES, WAY
+from placelore.scratch import table
 
 RESULT = ["query_id", "strategy", "x", "y", "quality", "origin", "elements"]
 
@@ -50,10 +51,15 @@ def crossings(spans: DataFrame, index: DataFrame, way_nodes: DataFrame) -> DataF
     query and node, so no pair of windows is formed that does not cross. Returns query_id, node_id, score, phrase_a, phrase_b:
     of each node the pair with the most words.
     """
-    found = lookup.hits(spans, index)
-    at = lookup.element_nodes(found, way_nodes, lookup._no_members(way_nodes), sample=False, relations=False)
-    where = found.select("query_id", "begin", "length", "phrase", "elem_type", "elem_id").join(at, ["elem_type", "elem_id"]).select("query_id", "begin", "length", "phrase", "node_id")
-    where = where.repartition("query_id", "node_id").distinct()  # one shuffle serves the distinct and both sides of the join
+    found = lookup.hits(spans, index).where(F.col("elem_type").isin(NODE, WAY))
+    of_way = way_nodes.select("way_id", F.col("node_id").alias("way_node"))
+    at = found.join(of_way, (F.col("elem_type") == WAY) & (F.col("elem_id") == F.col("way_id")), "left")
+    node = F.when(F.col("elem_type") == NODE, F.col("elem_id")).otherwise(F.col("way_node"))
+    where = at.select("query_id", "begin", "length", "phrase", node.alias("node_id")).where("node_id IS NOT NULL").repartition("query_id", "node_id").distinct()
+    # windows of a node of which none ends before another begins fall out; the rest is stored, as both sides of the join read it
+    group = Window.partitionBy("query_id", "node_id")
+    room = F.max("begin").over(group) >= F.min(F.col("begin") + F.col("length")).over(group)
+    where = table(where.withColumn("room", room).where("room").drop("room"), "crossing-windows")
     a, b = where.alias("a"), where.alias("b")
     gap = F.col("b.begin") - (F.col("a.begin") + F.col("a.length"))
     apart = F.call_function("instr", F.col("a.phrase"), F.col("b.phrase")) == 0
