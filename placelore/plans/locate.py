@@ -59,10 +59,11 @@ def searchable(texts: DataFrame) -> DataFrame:
 def read(texts: DataFrame, m: Map, stop_words=P.STOP_WORDS, vague=P.VAGUE_WORDS, cache: bool = False) -> Read:
     """texts: (query_id, text). Texts of three bytes or fewer are not searched. cache: write words and spans once, for several uses."""
     words = searchable(texts).select("query_id", read_words(F.col("text"), stop_words).alias("words"))
+    words = table(words, "words") if cache else words
     able = words.select("query_id", phrase_words(F.col("words")).alias("w")).withColumn("forms", F.transform("w", alternatives))
     # outer, and filtered behind: an inner explode would make the optimiser work the whole expression once more as a filter
     each = able.select("query_id", F.explode_outer(spans(F.col("w"), F.col("forms"), vague=vague)).alias("s")).where("s IS NOT NULL").select("query_id", "s.begin", "s.length", "s.phrase")
-    words, each = (table(words, "words"), table(each, "spans")) if cache else (words, each)
+    each = table(each, "spans") if cache else each
     phrases = each.select("query_id", "phrase").distinct()
     return Read(words, each, phrases, lookup.hits(phrases, m.name_index))
 
