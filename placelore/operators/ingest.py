@@ -96,7 +96,7 @@ def road_ways(raw: DataFrame, skip: tuple[int, ...] = P.SKIP_WAYS) -> DataFrame:
     """Roads under each number of their ref tag."""
     able = without(raw, "id", skip).where(_tag("ref").isNotNull() & _tag("highway").isin(*ROAD_HIGHWAYS) & (F.size("refs") >= 2))
     rows = able.select(F.col("id").alias("way_id"), F.explode_outer(ref_roads(_tag("ref"))).alias("r")).where("r IS NOT NULL")
-    return rows.select("r.road_type", "r.number", "way_id").where(valid_road(F.col("way_id"), F.col("road_type"), F.col("number")))
+    return rows.select("r.road_type", "r.number", "way_id").where(valid_road(F.col("way_id"), F.col("road_type"), F.col("number"), skip))
 
 
 def scb_areas(raw: DataFrame) -> DataFrame:
