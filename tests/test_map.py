@@ -254,3 +254,44 @@ def test_tables_of_a_scope_are_removed_at_its_end(spark):
         with scope():
             assert table(spark.range(3), "inner").count() == 3
     assert (set(os.listdir(folder)) if os.path.isdir(folder) else set()) == before
+
+
+def test_nearest_places_by_tiles_and_with_ties():
+    """Against plain Python: the first of equal distances, with and without tiles, and beyond what a double holds."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(7)
+    for span in (40, 20_000_000, 2_000_000_000):
+        x, y, px, py = (np.array([rng.randrange(span) for _ in range(n)], np.int64) for n in (300, 300, 200, 200))
+        want = [min(range(300), key=lambda i: ((x[i] - a) ** 2 + (y[i] - b) ** 2, i)) for a, b in zip(px.tolist(), py.tolist(), strict=True)]
+        for many in (4096, 0):
+            at, d2 = lookup.nearest(px, py, x, y, many)
+            assert at.tolist() == want and d2.tolist() == [(x[i] - a) ** 2 + (y[i] - b) ** 2 for i, a, b in zip(want, px.tolist(), py.tolist(), strict=True)]
+
+
+def test_strategies_work_on_keys_not_on_every_hit(spark):
+    """Local matches from keys are those from hits; elements outside a text's regions are never rows of that text."""
+    import random
+
+    from placelore.operators import strategies
+
+    rng = random.Random(9)
+    entries = spark.createDataFrame([(f"k{k}", 1, k * 100 + i, rng.choice((100, 105, 300)), k * 100 + i) for k in range(6) for i in range(20)], "code_key string, elem_type int, elem_id long, rwt int, seq long")
+    centre = spark.createDataFrame([(1, k * 100 + i, rng.randrange(8_000_000, 9_000_000), rng.randrange(5_000_000, 6_000_000)) for k in range(6) for i in range(20)], "elem_type int, elem_id long, x int, y int")
+    keyed = spark.createDataFrame([(q, f"k{k}", f"k{k}") for q in range(5) for k in rng.sample(range(6), 3)], "query_id long, phrase string, code_key string")
+    names = spark.createDataFrame([], "elem_type int, elem_id long, name string")
+    places = strategies.global_places(keyed, entries)
+    got = strategies.local_matches_of_keys(keyed, entries, centre, places, names)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, strategies.local_matches(keyed.join(entries, "code_key"), centre, places, names).collect())) != []
+
+    corner = [{"x": x, "y": y} for x, y in ((8_000_000, 5_000_000), (8_300_000, 5_000_000), (8_300_000, 6_000_000), (8_000_000, 6_000_000))]
+    rings = spark.createDataFrame([(7, 8_000_000, 5_000_000, 8_300_000, 6_000_000, [corner])], "rel_id long, minx long, miny long, maxx long, maxy long, rings array<array<struct<x:long,y:long>>>")
+    regions = spark.createDataFrame([(2, 7, 4, "land")], "query_id long, rel_id long, admin_level int, norm_name string")
+    found = strategies.admin_matches(keyed, entries, centre, regions, rings)
+    spread = strategies.spread_elements(entries, centre).collect()
+    mine = {r["code_key"] for r in keyed.where("query_id = 2").collect()}
+    want = {(r["code_key"], r["elem_id"]) for r in spread if r["code_key"] in mine and 8_000_000 <= r["x"] < 8_300_000}
+    assert {(r["phrase"], r["elem_id"]) for r in found.collect()} == want and want
+    assert {r["query_id"] for r in found.collect()} == {2}
