@@ -16,7 +16,11 @@ of a document partition its windows. Hence a window can only repeat in phrases o
 
 Anchors with more than HOT document rows are cut into phrases of a single window, keyed by the window itself, so that many
 different contexts of one passage never meet in one task: all of them in one index would be a task without bound. Such
-windows are equal or not as a whole, so the dictionary decides them. Blocks grow in number with the input, not in size.
+windows are equal or not as a whole, so the dictionary decides them, and they travel as hashes, without their symbols. Blocks
+grow in number with the input, not in size.
+
+What travels is numbers in a fitting order, as compressed differences (``tight``). Scan, recur and cut name an anchor by its
+tag: its block and 32 more bits. Two anchors of one tag only make phrases travel that recur nowhere; the tag decides no match.
 
 Equality of phrases is decided on 128 bits of hash (64 of the anchor's k-gram, or of the window if the anchor is hot, and 64
 of the whole phrase with other symbol hashes) and their length. Words are told apart by 64 bits of hash.
@@ -34,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, StructField, StructType
@@ -51,7 +55,13 @@ FLUSH = 2_000_000
 PART = 1 << 18
 #: Symbols that are hashed at once.
 BLOCK = 1 << 20
-ANCHOR, DIRECT, DOCS, PHRASE, SPAN = range(5)
+#: Bytes of phrases that a task gathers before it sends them on: bounds the task's memory. Copies within them travel once.
+HELD = 16 << 20
+ANCHOR, DIRECT, DOCS, PHRASE, SPAN, WINDOW = range(6)
+#: Blocks of phrases for one of spans, of which there are far fewer: every block of phrases sends to every block of spans.
+SPREAD = 16
+#: Kept for the process: making one takes longer than a small blob.
+_zip, _unzip = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 ROUTED = "key long, kind int, flush long, blob binary"
 
 
@@ -128,23 +138,33 @@ def pack(*arrays) -> bytes:
     return b"".join([np.array([len(p) for p in parts], "<i8").tobytes(), *parts])
 
 
-def unpack(blob: bytes, *kinds, skip: int = 0) -> list[np.ndarray]:
-    """The first arrays of a blob; skip: how many parts follow them."""
-    at, out = 8 * (len(kinds) + skip), []
-    for kind, size in zip(kinds, np.frombuffer(blob, "<i8", len(kinds)).tolist(), strict=True):
-        out.append(np.frombuffer(blob, kind, size // np.dtype(kind).itemsize, at))
+def unpack(blob: bytes, many: int) -> list[bytes]:
+    """The parts of a blob that pack() made."""
+    at, out = 8 * many, []
+    for size in np.frombuffer(blob, "<i8", many).tolist():
+        out.append(blob[at : at + size])
         at += size
     return out
 
 
-def rest(blob: bytes, nth: int) -> bytes:
-    """The last part of a blob, which has nth parts before it."""
-    return blob[len(blob) - int(np.frombuffer(blob, "<i8", 1, 8 * nth)[0]) :]
+def tight(*arrays: np.ndarray) -> bytes:
+    """Whole numbers, arrays of one length, in few bytes: differences, laid out by byte place, compressed."""
+    parts = []
+    for a in arrays:
+        d = np.diff(a.astype(np.int64), prepend=np.int64(0))
+        parts.append(((d << 1) ^ (d >> 63)).view(np.uint8).reshape(-1, 8).T.tobytes())
+    return _zip.compress(b"".join(parts))
+
+
+def loose(blob: bytes, many: int) -> np.ndarray:
+    """The arrays of tight(), as the rows of one of int64."""
+    planes = np.frombuffer(_unzip.decompress(blob), np.uint8).reshape(many, 8, -1)
+    z = np.ascontiguousarray(planes.transpose(0, 2, 1)).view(U)[..., 0]
+    return np.cumsum((z >> U(1)) ^ (U(0) - (z & U(1))), axis=1, dtype=U).view(np.int64)
 
 
-def joined(blobs: list[bytes], *kinds, skip: int = 0) -> list[np.ndarray]:
-    parts = [unpack(b, *kinds, skip=skip) for b in blobs]
-    return [np.concatenate([np.zeros(0, k), *(p[i] for p in parts)]) for i, k in enumerate(kinds)]
+def loosed(blobs: list[bytes], many: int) -> np.ndarray:
+    return np.concatenate([np.zeros((many, 0), np.int64), *(loose(b, many) for b in blobs)], axis=1)
 
 
 def rows(keys, kinds, flushes, blobs) -> pa.RecordBatch:
@@ -160,11 +180,21 @@ def routed(kind: int, flush: int, key: np.ndarray, *arrays: np.ndarray) -> pa.Re
     cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     arrays = [a[order] for a in arrays]
     ends = np.r_[cut[1:], len(key)]
-    return rows(key[cut], [kind] * len(cut), [flush] * len(cut), [pack(*(a[i:j] for a in arrays)) for i, j in zip(cut, ends, strict=True)])
+    return rows(key[cut], [kind] * len(cut), [flush] * len(cut), [tight(*(a[i:j] for a in arrays)) for i, j in zip(cut, ends, strict=True)])
+
+
+def span_blocks(n: int) -> int:
+    return max(min(n, 256), n // SPREAD)
 
 
 def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
-    return (mix(h ^ U(0xA5A5A5A5A5A5A5A5)) % U(n)).astype(np.int64)
+    return (mix(h.astype(U) ^ U(0xA5A5A5A5A5A5A5A5)) % U(n)).astype(np.int64)
+
+
+def tag_of(h: np.ndarray, n: int) -> np.ndarray:
+    """An anchor's name on its way: its block, 32 bits that are independent of it, and a bit (0 here) that says it is hot."""
+    m = mix(h ^ U(0xA5A5A5A5A5A5A5A5))
+    return ((m % U(n)) << U(33) | (m >> U(32)) << U(1)).astype(np.int64)
 
 
 def texts_of(batch: pa.RecordBatch, name: str) -> list[bytes]:
@@ -182,7 +212,7 @@ def scan(win: Windows, n: int) -> Callable:
             mark = (part << 24) + count
             count += 1
             h, idx = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
-            yield rows([mark % n], [DOCS], [mark], [pack(np.array(did, np.int64), np.array(fp, np.int64))])
+            yield rows([mark % n], [DOCS], [mark], [tight(np.array(did, np.int64), np.array(fp, np.int64))])
             held, did, fp, size = [], [], [], 0
             if not len(h):
                 return
@@ -192,9 +222,9 @@ def scan(win: Windows, n: int) -> Callable:
             h, idx = h[own], idx[own]
             first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
             size_of = np.diff(np.r_[first, len(h)])
-            yield routed(ANCHOR, mark, bucket_of(h[first], n), h[first], idx[first].astype(np.uint32), size_of.astype(np.uint32))
+            yield routed(ANCHOR, mark, h[first] >> 33, h[first] & ((1 << 33) - 1), idx[first], size_of)
             again = np.repeat(size_of > 1, size_of)  # known here already
-            yield rows([mark % n], [DIRECT], [mark], [pack(h[again], idx[again].astype(np.uint32))])
+            yield rows([mark % n], [DIRECT], [mark], [tight(h[again], idx[again])])
 
         for batch in batches:
             texts = opened(batch)
@@ -203,7 +233,7 @@ def scan(win: Windows, n: int) -> Callable:
             for first, last in groups(texts, 4 * BLOCK):
                 for sym, docs, base, lens in win.symbols(texts[first:last]):
                     h, _, _, of = win.phrases(sym, docs, base, lens)
-                    held.append((h, docs[of] + len(did)))
+                    held.append((tag_of(h, n), docs[of] + len(did)))
                     size += len(h)
                 did += new_did[first:last]
                 fp += new_fp[first:last]
@@ -225,16 +255,17 @@ def recur(win: Windows) -> Callable:
         out = [table.filter(pa.array(kind != ANCHOR))]
         mine = table.filter(pa.array(kind == ANCHOR))
         if mine.num_rows:
-            blobs = mine.column("blob").to_pylist()
-            h, idx, many = joined(blobs, U, np.uint32, np.uint32)
-            flush = np.repeat(mine.column("flush").to_numpy(), [len(unpack(b, U, np.uint32, np.uint32)[0]) for b in blobs])
+            parts = [loose(b, 3) for b in mine.column("blob").to_pylist()]
+            h, idx, many = np.concatenate(parts, axis=1)
+            h |= mine.column("key")[0].as_py() << 33
+            flush = np.repeat(mine.column("flush").to_numpy(), [p.shape[1] for p in parts])
             order = np.argsort(h, kind="stable")
             h, idx, many, flush = h[order], idx[order], many[order], flush[order]
             first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
             docs = np.add.reduceat(many, first, dtype=np.int64)
             size = np.diff(np.r_[first, len(h)])
             keep = np.repeat(docs > 1, size)
-            h = h | np.repeat(docs > win.hot, size).astype(U)  # the lowest bit says that the anchor is hot
+            h = h | np.repeat(docs > win.hot, size)  # the lowest bit says that the anchor is hot
             if keep.any():
                 back = routed(ANCHOR, 0, flush[keep], h[keep], idx[keep])
                 back = back.set_column(2, "flush", back.column("key"))
@@ -247,18 +278,18 @@ def recur(win: Windows) -> Callable:
 def told(table: pa.Table) -> pa.Table:
     """For a sender's documents: the recurring anchors that each has."""
     kind, blobs = table.column("kind").to_numpy(), table.column("blob").to_pylist()
-    did, fp = joined([b for b, k in zip(blobs, kind, strict=True) if k == DOCS], np.int64, np.int64)
-    h, idx = joined([b for b, k in zip(blobs, kind, strict=True) if k == DIRECT], U, np.uint32)
-    h2, idx2 = joined([b for b, k in zip(blobs, kind, strict=True) if k == ANCHOR], U, np.uint32)
-    hot = np.sort(h2[(h2 & U(1)) == 1] & ~U(1))
+    did, fp = loosed([b for b, k in zip(blobs, kind, strict=True) if k == DOCS], 2)
+    h, idx = loosed([b for b, k in zip(blobs, kind, strict=True) if k == DIRECT], 2)
+    h2, idx2 = loosed([b for b, k in zip(blobs, kind, strict=True) if k == ANCHOR], 2)
+    hot = np.sort(h2[(h2 & 1) == 1] & ~1)
     if len(hot) and len(h):
         at = np.searchsorted(hot, h)
-        h = h | ((at < len(hot)) & (hot[np.minimum(at, len(hot) - 1)] == h)).astype(U)
+        h = h | ((at < len(hot)) & (hot[np.minimum(at, len(hot) - 1)] == h))
     h, idx = np.concatenate([h, h2]), np.concatenate([idx, idx2])
-    order = np.argsort(idx, kind="stable")
+    order = np.lexsort((h, idx))
     h, idx = h[order], idx[order]
     cut = np.flatnonzero(np.r_[True, idx[1:] != idx[:-1]]) if len(idx) else np.zeros(0, np.int64)
-    return pa.table({"did": pa.array(did[idx[cut]], pa.int64()), "fp": pa.array(fp[idx[cut]], pa.int64()), "anchors": pa.array([h[i:j].tobytes() for i, j in zip(cut, np.r_[cut[1:], len(h)], strict=True)] if len(cut) else [], pa.binary())})
+    return pa.table({"did": pa.array(did[idx[cut]], pa.int64()), "fp": pa.array(fp[idx[cut]], pa.int64()), "anchors": pa.array([tight(h[i:j]) for i, j in zip(cut, np.r_[cut[1:], len(h)], strict=True)] if len(cut) else [], pa.binary())})
 
 
 def packed(batches):
@@ -295,90 +326,146 @@ def ranges(first: np.ndarray, lens: np.ndarray) -> np.ndarray:
 
 
 def cut(win: Windows, n: int) -> Callable:
-    kind_of = np.uint8 if win.unit == "bytes" else U
-
     def go(batches):
-        press = zstandard.ZstdCompressor(level=1)
+        whole, alone, size = [], [], 0
         for batch in slices(batches):
             texts = opened(batch)
-            did, fp = batch.column("did").to_numpy(), batch.column("fp").to_numpy()
-            lists = batch.column("anchors").to_pylist()
+            did, fp, nth = (batch.column(c).to_numpy().astype(np.int64) for c in ("did", "fp", "nth"))
+            lists = [loose(x, 1)[0] for x in batch.column("anchors").to_pylist()]
+            some = [np.zeros(0, np.int64)]
             for sym, docs, base, lens in win.symbols(texts):
-                h, first, size, of = win.phrases(sym, docs, base, lens)
-                known = np.unique(np.concatenate([np.frombuffer(x, U) for x in (lists[d] for d in docs)]))
-                low = known & ~U(1)
-                at = np.minimum(np.searchsorted(low, h), len(low) - 1)
-                keep = low[at] == h
-                hot = (known[at] & U(1)).astype(bool)[keep]
-                h, first, size, of = h[keep], first[keep], size[keep], of[keep]
-                if not len(h):
+                h, first, many, of = win.phrases(sym, docs, base, lens)
+                known, tag = np.unique(np.concatenate([lists[d] for d in docs])), tag_of(h, n)
+                low = known & ~1
+                at = np.minimum(np.searchsorted(low, tag), len(low) - 1)
+                keep = low[at] == tag
+                if not keep.any():
                     continue
+                hot = (known[at] & 1).astype(bool)[keep]
+                h, first, many, of = h[keep], first[keep], many[keep], of[keep]
+                some.append(docs[of])
                 raw = sym if win.unit == "words" else np.frombuffer(b"".join(texts[docs[0] : docs[-1] + 1]), np.uint8)[base[0] : base[0] + len(sym)]
-                pre = prefix(sym)
-                alone = ranges(first[hot], size[hot])
-                of = np.concatenate([of[~hot], np.repeat(of[hot], size[hot])])
-                h = np.concatenate([h[~hot], mix(span(pre, alone, alone + win.W)) & ~U(1)])
-                first = np.concatenate([first[~hot], alone])
-                size = np.concatenate([size[~hot], np.ones(len(alone), np.int64)])
-                text = mix(span(prefix(win.second(raw)), first, first + size + win.W - 1))
-                doc = docs[of]
-                start = first - (np.cumsum(lens) - lens)[of] + base[of]
-                order = np.lexsort((did[doc], text, size, h))
-                h, first, size, text, doc, start = (x[order] for x in (h, first, size, text, doc, start))
-                new = np.r_[True, (h[1:] != h[:-1]) | (size[1:] != size[:-1]) | (text[1:] != text[:-1])]
-                least = did[doc][np.flatnonzero(new)[np.cumsum(new) - 1]]
-                later = did[doc] > least  # a smaller document of this batch has the whole phrase
-                x = routed(SPAN, 0, bucket_of(did[doc[later]].view(U), n), did[doc[later]], fp[doc[later]], start[later], start[later] + size[later] + win.W - 1)
-                if x is not None:
-                    yield x
-                e = ~later
-                key = bucket_of(h[e], n)
-                order = np.argsort(key, kind="stable")
-                h, first, size, doc, start, key = h[e][order], first[e][order], size[e][order], doc[e][order], start[e][order], key[order]
-                many = size + win.W - 1
-                all_sym, ends = raw[ranges(first, many)], np.cumsum(many)
-                edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-                stop = np.r_[edge[1:], len(key)]
-                blobs = [pack(h[i:j], size[i:j].astype(np.uint16), did[doc[i:j]], fp[doc[i:j]], start[i:j], press.compress(all_sym[ends[i] - many[i] : ends[j - 1]].astype(kind_of).tobytes())) for i, j in zip(edge, stop, strict=True)]
-                yield rows(key[edge], [PHRASE] * len(edge), [0] * len(edge), blobs)
+                two, shift = prefix(win.second(raw)), base - (np.cumsum(lens) - lens)
+                if hot.any():
+                    at, where = ranges(first[hot], many[hot]), np.repeat(of[hot], many[hot])
+                    alone.append((mix(span(prefix(sym), at, at + win.W)) & ~U(1), mix(span(two, at, at + win.W)), did[docs[where]], nth[docs[where]], at + shift[where]))
+                    size += 40 * len(at)
+                if hot.all():
+                    continue
+                h, first, many, of = h[~hot], first[~hot], many[~hot], of[~hot]
+                lens_of = many + win.W - 1
+                held = raw[ranges(first, lens_of)]
+                whole.append((h, mix(span(two, first, first + lens_of)), many, did[docs[of]], nth[docs[of]], first + shift[of], held))
+                size += 48 * len(h) + held.nbytes
+            some = np.unique(np.concatenate(some))
+            if len(some):  # which row an id and number stand for
+                yield routed(DOCS, 0, bucket_of(did[some], span_blocks(n)), did[some], nth[some], fp[some])
+            if size >= HELD:
+                yield from sent(win, n, whole, alone)
+                whole, alone, size = [], [], 0
+        yield from sent(win, n, whole, alone)
 
     return go
 
 
+def least_first(order: np.ndarray, did: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """In the given order, which sorts by same and then did: where the entries of one phrase begin, which of them each entry
+    belongs to, and whether a smaller document than the entry's has it."""
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for x in same:
+        new[1:] |= x[order[1:]] != x[order[:-1]]
+    head, of = np.flatnonzero(new), np.cumsum(new) - 1
+    return head, of, did[order] > did[order[head]][of]
+
+
+def sent(win: Windows, n: int, whole: list, alone: list) -> Iterator[pa.RecordBatch]:
+    """The gathered phrases for their blocks, each distinct one with the smallest document that has it; what the others have are spans."""
+    press, spans = zstandard.ZstdCompressor(level=1), []
+    if whole:
+        h, text, size, did, nth, start = (np.concatenate([x[i] for x in whole]) for i in range(6))
+        raw, many = np.concatenate([x[6] for x in whole]), size + win.W - 1
+        whole.clear()
+        off = np.cumsum(many) - many
+        order = np.lexsort((did, text, size, h))
+        later = least_first(order, did, h, size, text)[2]
+        x = order[later]  # a smaller document of these has the whole phrase
+        spans.append((did[x], nth[x], start[x], start[x] + many[x]))
+        x = order[~later]
+        key = bucket_of(h[x], n)
+        order = np.lexsort((start[x], nth[x], did[x], key))
+        x, key = x[order], key[order]
+        edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+        blobs = []
+        for i, j in zip(edge, np.r_[edge[1:], len(key)], strict=True):
+            e = x[i:j]
+            blobs.append(pack(tight(h[e], size[e], did[e], nth[e], start[e]), press.compress(raw[ranges(off[e], many[e])].tobytes())))
+        yield rows(key[edge], [PHRASE] * len(edge), [0] * len(edge), blobs)
+    if alone:
+        h, text, did, nth, start = (np.concatenate([x[i] for x in alone]) for i in range(5))
+        alone.clear()
+        order = np.lexsort((did, text, h))
+        later = least_first(order, did, h, text)[2]
+        x = order[later]
+        spans.append((did[x], nth[x], start[x], start[x] + win.W))
+        x = np.sort(order[~later])  # as they stand in the texts
+        yield routed(WINDOW, 0, bucket_of(h[x], n), h[x], text[x], did[x], nth[x], start[x])
+    if spans and (back := routed_spans(spans, n)) is not None:
+        yield back
+
+
+def merged(did, nth, a, b) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Spans in order of document and place, those that touch or overlap as one."""
+    order = np.lexsort((b, a, nth, did))
+    did, nth, a, b = did[order], nth[order], a[order], b[order]
+    if not len(a):
+        return did, nth, a, b
+    new = np.r_[True, (did[1:] != did[:-1]) | (nth[1:] != nth[:-1])]
+    doc, big = np.cumsum(new) - 1, int(b.max()) + 1
+    reach = np.maximum.accumulate(b + doc * big) - doc * big  # ends never pass from one document into the next
+    first = np.flatnonzero(new | np.r_[True, a[1:] > reach[:-1]])
+    return did[first], nth[first], a[first], reach[np.r_[first[1:] - 1, len(reach) - 1]]
+
+
+def routed_spans(spans: list[tuple], n: int) -> pa.RecordBatch | None:
+    did, nth, a, b = merged(*(np.concatenate(x) for x in zip(*spans, strict=True)))
+    return routed(SPAN, 0, bucket_of(did, span_blocks(n)), did, nth, a, b - a)
+
+
 def mark(win: Windows, n: int, match: Callable) -> Callable:
     """In a block: the windows of each phrase that a smaller document also has."""
     kind_of = np.uint8 if win.unit == "bytes" else U
 
     def go(table: pa.Table) -> pa.Table:
         kind = table.column("kind").to_numpy()
-        out = [table.filter(pa.array(kind == SPAN))]
-        blobs = table.filter(pa.array(kind == PHRASE)).column("blob").to_pylist()
-        h, size, did, fp, start = joined(blobs, U, np.uint16, np.int64, np.int64, np.int64, skip=1)
+        out = [table.filter(pa.array((kind == SPAN) | (kind == DOCS)))]
+        blobs = [unpack(b, 2) for b in table.filter(pa.array(kind == PHRASE)).column("blob").to_pylist()]
+        h, size, did, nth, start = loosed([b for b, _ in blobs], 5)
+        spans = []
         if len(h):
             press = zstandard.ZstdDecompressor()
-            raw = np.frombuffer(b"".join(press.decompress(rest(b, 5)) for b in blobs), kind_of)
-            size = size.astype(np.int64)
-            many = size + win.W - 1
+            raw = np.frombuffer(b"".join(press.decompress(z) for _, z in blobs), kind_of)
+            h, many = h.view(U), size + win.W - 1
             off = np.cumsum(many) - many
             text = mix(span(prefix(win.second(raw)), off, off + many))
             order = np.lexsort((did, text, size, h))
-            h, size, did, fp, start, off, text = (x[order] for x in (h, size, did, fp, start, off, text))
-            new = np.r_[True, (h[1:] != h[:-1]) | (size[1:] != size[:-1]) | (text[1:] != text[:-1])]
-            head, of = np.flatnonzero(new), np.cumsum(new) - 1
-            later = did > did[head][of]
+            head, of, later = least_first(order, did, h, size, text)
+            h, size, did, nth, start, off = (x[order] for x in (h, size, did, nth, start, off))
             hit = earlier(win, match, raw, h[head], did[head], off[head], size[head])
-            spans = [(did[later], fp[later], start[later], start[later] + size[later] + win.W - 1)]
+            spans.append((did[later], nth[later], start[later], start[later] + size[later] + win.W - 1))
             at = np.cumsum(size[head]) - size[head]
             own = np.flatnonzero(~later)
-            nth, entry = ranges(at[of[own]], size[head][of[own]]), np.repeat(own, size[own])
-            some = hit[nth]
-            if some.any():
-                place = start[entry[some]] + (nth - at[of[entry]])[some]
-                spans.append((did[entry[some]], fp[entry[some]], place, place + win.W))
-            d, f, a, b = (np.concatenate(x) for x in zip(*spans, strict=True))
-            back = routed(SPAN, 0, bucket_of(d.view(U), n), d, f, a, b)
-            if back is not None:
-                out.append(pa.Table.from_batches([back]))
+            window, entry = ranges(at[of[own]], size[head][of[own]]), np.repeat(own, size[own])
+            some = hit[window]
+            place = start[entry[some]] + (window - at[of[entry]])[some]
+            spans.append((did[entry[some]], nth[entry[some]], place, place + win.W))
+        h, text, did, nth, start = loosed(table.filter(pa.array(kind == WINDOW)).column("blob").to_pylist(), 5)
+        if len(h):
+            order = np.lexsort((did, text, h))
+            x = order[least_first(order, did, h, text)[2]]
+            spans.append((did[x], nth[x], start[x], start[x] + win.W))
+        if spans and (back := routed_spans(spans, n)) is not None:
+            out.append(pa.Table.from_batches([back]))
         return pa.concat_tables([t.select(["key", "kind", "flush", "blob"]) for t in out])
 
     return go
@@ -471,21 +558,18 @@ def streamed(win: Windows, match: Callable, raw, h, did, off, size) -> tuple[np.
 
 def gather(table: pa.Table) -> pa.Table:
     """For each document its merged spans, as pairs of int64."""
-    did, fp, a, b = joined(table.column("blob").to_pylist(), np.int64, np.int64, np.int64, np.int64)
-    order = np.lexsort((b, a, fp, did))
-    did, fp, a, b = did[order], fp[order], a[order], b[order]
-    new = np.r_[True, (did[1:] != did[:-1]) | (fp[1:] != fp[:-1])]
-    doc = np.cumsum(new) - 1
-    big = int(b.max()) + 1
-    reach = np.maximum.accumulate(b + doc * big) - doc * big  # ends never pass from one document into the next
-    opens = new | np.r_[True, a[1:] > reach[:-1]]
-    first = np.flatnonzero(opens)
-    a, b, doc = a[first], reach[np.r_[first[1:] - 1, len(reach) - 1]], doc[first]
-    edge = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-    stop = np.r_[edge[1:], len(doc)]
+    kind, blobs = table.column("kind").to_numpy(), table.column("blob").to_pylist()
+    did, nth, a, many = loosed([b for b, k in zip(blobs, kind, strict=True) if k == SPAN], 4)
+    did, nth, a, b = merged(did, nth, a, a + many)
+    head = np.flatnonzero(np.r_[True, (did[1:] != did[:-1]) | (nth[1:] != nth[:-1])][: len(did)])
     pairs = np.stack([a, b], 1)
-    head = np.flatnonzero(new)
-    return pa.table({"did": pa.array(did[head], pa.int64()), "fp": pa.array(fp[head], pa.int64()), "found": pa.array([pairs[i:j].tobytes() for i, j in zip(edge, stop, strict=True)], pa.binary())})
+    found = [pairs[i:j].tobytes() for i, j in zip(head, np.r_[head[1:], len(did)], strict=True)] if len(head) else []
+    did, nth = did[head], nth[head]
+    id_, no, fp = loosed([b for b, k in zip(blobs, kind, strict=True) if k == DOCS], 3)
+    order = np.lexsort((np.repeat([0, 1], [len(id_), len(did)]), np.r_[no, nth], np.r_[id_, did]))  # a row before its spans
+    row = np.maximum.accumulate(np.where(order < len(id_), np.arange(len(order)), 0))
+    mine = order >= len(id_)
+    return pa.table({"did": pa.array(did, pa.int64()), "fp": pa.array(fp[order[row[mine]]], pa.int64()), "found": pa.array(found, pa.binary())})
 
 
 def repeated_spans(docs: DataFrame, win: Windows, match: Callable, finish: Callable, result: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -502,6 +586,8 @@ def repeated_spans(docs: DataFrame, win: Windows, match: Callable, finish: Calla
     same = keyed.select("did", "fp", F.xxhash64(F.lit(1), "body").alias("fq")).distinct()
     least = same.groupBy("fp", "fq").agg(F.min("did").alias("least"))
     copies = same.join(least, ["fp", "fq"]).groupBy("did", "fp").agg(F.min(F.col("did") > F.col("least")).alias("copy"))
+    # a small number tells rows of one id apart on their way; it is nearly always the same, so it costs nothing
+    copies = copies.withColumn("nth", F.row_number().over(Window.partitionBy("did").orderBy("fp")).cast("long"))
     z = z.join(copies, ["did", "fp"])
     ordered = z.where("NOT copy").sortWithinPartitions("did", "fp")  # places in a flush are the same if a lost task runs again
     sent = ordered.mapInArrow(scan(win, n), ROUTED)

@@ -8,7 +8,9 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from placelore.llm import anchors, lempelziv, runindex
@@ -111,6 +113,27 @@ def test_phrases_partition_the_windows():
     assert size.sum() == 351 and (np.diff(first) == size[:-1]).all()
 
 
+def test_numbers_travel_tightly():
+    rng = np.random.default_rng(1)
+    ends = np.array([0, -1, (1 << 63) - 1, -(1 << 63), 5])
+    big = rng.integers(-(1 << 63), (1 << 63) - 1, 1000)
+    for arrays in ((ends, ends[::-1]), (big, np.arange(1000)), (np.zeros(0, np.int64),) * 2):
+        assert all((a == b).all() for a, b in zip(arrays, anchors.loose(anchors.tight(*arrays), 2), strict=True))
+    assert (anchors.loose(anchors.tight(big.view(np.uint64)), 1)[0] == big).all()
+    assert len(anchors.tight(np.arange(100_000))) < 10_000
+
+
+def test_windows_of_hot_anchors_travel_without_their_symbols():
+    win, n, texts = anchors.Windows("bytes", 50, 18), 8, [random.Random(i).randbytes(1000) for i in range(40)]
+    found = [win.phrases(win.hashed(np.frombuffer(t, np.uint8)), np.array([0]), np.array([0]), np.array([1000]))[0] for t in texts]
+    press = zstandard.ZstdCompressor()
+    batch = pa.RecordBatch.from_pydict({"did": range(40), "fp": range(40), "nth": [1] * 40, "z": [press.compress(t) for t in texts], "anchors": [anchors.tight(np.unique(anchors.tag_of(h, n)) | 1) for h in found]})
+    out = pa.Table.from_batches(list(anchors.cut(win, n)([batch])))
+    blobs = [b for k, b in zip(out["kind"].to_pylist(), out["blob"].to_pylist()) if k == anchors.WINDOW]
+    assert anchors.loosed(blobs, 5).shape[1] == 40 * 951
+    assert sum(map(len, out["blob"].to_pylist())) < 24 * 40 * 951  # 50 bytes of text and 42 of numbers for each, once
+
+
 @pytest.mark.parametrize("hot", [1000, 3])
 def test_substring_dedup(docs, hot):
     want = brute_spans(docs, lambda t: t.encode().split())
