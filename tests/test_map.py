@@ -295,3 +295,18 @@ def test_strategies_work_on_keys_not_on_every_hit(spark):
     want = {(r["code_key"], r["elem_id"]) for r in spread if r["code_key"] in mine and 8_000_000 <= r["x"] < 8_300_000}
     assert {(r["phrase"], r["elem_id"]) for r in found.collect()} == want and want
     assert {r["query_id"] for r in found.collect()} == {2}
+
+
+def test_windows_that_name_nothing_fall_out_early(spark):
+    from placelore import bindings as B
+    from placelore.operators import lookup, strategies
+    from placelore.plans.locate import read
+    from placelore.plans.queries import the_map
+
+    d = "/root/testdata/sf0.001"
+    m, rows = the_map(spark, d), lambda df: sorted(map(tuple, df.collect()))
+    r = read(B.texts(spark, d), m, cache=True)
+    assert rows(r.keyed) == rows(lookup.hits(r.phrases, m.name_index).select("query_id", "phrase", "code_key").distinct())
+    assert 0 < 5 * r.named.count() < r.spans.count()
+    assert rows(strategies.crossings(r.named, r.entries, m.way_nodes)) == rows(strategies.crossings(r.spans, m.name_index, m.way_nodes))
+    assert rows(lookup.identified_regions(r.spans, m.admin_regions)) == rows(lookup.identified_regions(r.phrases, m.admin_regions))
