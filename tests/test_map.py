@@ -310,3 +310,45 @@ def test_windows_that_name_nothing_fall_out_early(spark):
     assert 0 < 5 * r.named.count() < r.spans.count()
     assert rows(strategies.crossings(r.named, r.entries, m.way_nodes)) == rows(strategies.crossings(r.spans, m.name_index, m.way_nodes))
     assert rows(lookup.identified_regions(r.spans, m.admin_regions)) == rows(lookup.identified_regions(r.phrases, m.admin_regions))
+
+
+def test_windows_that_can_name_nothing_are_not_stored(spark):
+    from placelore import bindings as B
+    from placelore.functions.text import code_key
+    from placelore.plans.locate import name_ends, read
+    from placelore.plans.queries import the_map
+
+    d = "/root/testdata/sf0.001"
+    m = the_map(spark, d)
+    r = read(B.texts(spark, d), m, cache=True)
+    each = r.spans.withColumn("code_key", code_key(F.col("phrase")))
+    ends = {x["code_key"] for x in name_ends(m).collect()}
+    want = sorted(tuple(x) for x in each.collect() if {x["code_key"].split(" ")[0], x["code_key"].split(" ")[-1]} <= ends)
+    assert sorted(map(tuple, r.windows.collect())) == want and 0 < 5 * len(want) < each.count()
+
+
+def test_keys_of_words_are_made_at_once(spark):
+    from placelore.functions.text import code_key, split_keys
+
+    words = [["a:b", "été", "ÿ", "s:t"], [], ["o'x", "+", "grüß"]]
+    t = spark.createDataFrame([(w,) for w in words], "w array<string>")
+    for x in t.select("w", split_keys(F.col("w")).alias("k"), F.transform("w", code_key).alias("each")).collect():
+        assert x["k"] == x["each"], x["w"]
+
+
+def test_keys_named_by_many_texts_are_intersected_once(spark, monkeypatch):
+    from placelore.operators import strategies
+
+    stored = {}
+
+    def keep(df, name):
+        stored[name] = df
+        return df
+
+    monkeypatch.setattr(strategies, "table", keep)
+    spans = spark.createDataFrame([(q, b, 1, p) for q in range(40) for b, p in ((1, "ga"), (2, "gb"))], "query_id long, begin int, length int, phrase string")
+    index = spark.createDataFrame([("ga", 2, 1), ("gb", 2, 2), ("gb", 2, 3)], "code_key string, elem_type int, elem_id long")
+    way_nodes = spark.createDataFrame([(1, 1, 7), (1, 2, 8), (2, 1, 8), (3, 1, 9)], "way_id long, pos int, node_id long")
+    assert sorted(map(tuple, strategies.crossings(spans, index, way_nodes).collect())) == [(q, 8, 2, "ga", "gb") for q in range(40)]
+    assert stored["pairs"].select("few", "many").distinct().collect() == [("ga", "gb")]
+    assert "nodes" not in stored["pairs"].columns
