@@ -352,3 +352,60 @@ def test_keys_named_by_many_texts_are_intersected_once(spark, monkeypatch):
     assert sorted(map(tuple, strategies.crossings(spans, index, way_nodes).collect())) == [(q, 8, 2, "ga", "gb") for q in range(40)]
     assert stored["pairs"].select("few", "many").distinct().collect() == [("ga", "gb")]
     assert "nodes" not in stored["pairs"].columns
+
+
+def test_dedupe_against_plain_python_over_batches(spark):
+    """Texts that go on over several Arrow batches, equal rows, rows that only their strategy tells apart; results are dealt once."""
+    import random
+
+    from placelore.operators import ranking
+
+    r = random.Random(3)
+    rows = [(r.randrange(9), r.choice("ab"), r.randrange(60_000), r.randrange(60_000), r.randrange(4) / 4, f"o{r.randrange(2)}", "") for _ in range(600)]
+    rows += [(t, "b" if s == "a" else "a", x, y, q, o, e) for t, s, x, y, q, o, e in rows[:50]] + rows[:20] + [(99, "a", 5, 5, 0.5, "o", "")]
+    key = lambda s: (-s[4], *s[2:4], *s[5:])
+    near = lambda a, b: sum(((abs(a[i] - b[i]) + 5) // 10) ** 2 for i in (2, 3)) < 10**6 and all(abs(a[i] - b[i]) < 10**4 for i in (2, 3))
+    want = [a for a in set(rows) if not any(a[0] == b[0] and near(a, b) and key(b) < key(a) for b in rows)]
+    df = spark.createDataFrame(rows, "query_id long, strategy string, x int, y int, quality double, origin string, elements string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = ranking.dedupe(df)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+        assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 2  # twice that before: both sides of a join were dealt
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_results_in_portions_and_nothing_of_a_portion_stays(spark, the_map, monkeypatch):
+    import os
+
+    from placelore.plans import locate as L
+    from placelore.scratch import scope, scratch_dir
+
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(["Storgatan och Kyrkogatan i Ekstad", "Gula bron i Ekstad", "nära Lillby", "inget"] * 3)], "query_id long, text string")
+    with scope():
+        whole = sorted(map(tuple, L.best_results(texts, the_map).collect()))
+    monkeypatch.setattr(L, "PORTION", 4)
+    folder = scratch_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    with scope():
+        assert sorted(map(tuple, L.best_results(texts, the_map).collect())) == whole != []
+        made = [p.rsplit("-", 1)[0] for p in set(os.listdir(folder)) - before]
+        assert made.count("best") > 1 and "results" not in made
+
+
+def test_shuffle_files_go_with_the_table_they_were_made_for(spark):
+    import glob
+    import time
+
+    from placelore.scratch import table
+
+    folder = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]
+    files = lambda: set(glob.glob(f"{folder}/**/shuffle_*.data", recursive=True))
+    df = spark.range(10_000).repartition(3, "id")
+    before, end = files(), time.time() + 10
+    made = table(df, "dealt")
+    while files() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - before
+    assert made.count() == 10_000
